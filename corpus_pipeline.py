@@ -1,15 +1,80 @@
-"""Pipeline over ``documents``: quality, language, near-duplicates, mixing, packing."""
+"""Pipeline over ``documents``: quality, language, near-duplicates, mixing, packing.
+
+Every stage takes all that the one before it kept. run() writes each stage's result into the
+shared folder and reads it back, so that no stage is computed twice and an executor's loss
+costs no more than the stage that runs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirespark.llm._common import materialise
+
+MIN_LANGUAGE_SCORE = 0.51
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted quality is 1; labels come from the labels table."""
+    from quirespark.llm.quality import fit_quality, score_quality
+
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model, keep=docs.columns).where("predicted = 1").select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without letters and near-ties are rejected."""
+    from quirespark.llm.language import UNKNOWN, fit_languages, identify_languages
+
+    named = identify_languages(docs, fit_languages(docs), keep=docs.columns)
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of every group; rows without an id all stay."""
+    from quirespark.llm.simhash import simhash_groups
+
+    groups = simhash_groups(docs)
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    first = materialise(first, "first")
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not first.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionAll(docs.where("doc_id IS NULL"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    from quirespark.llm.mixing import mix_copies
+
+    mixed = mix_copies(docs, keep=docs.columns).where("__copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document is packed."""
+    import public_tokenizers
+
+    from quirespark.llm.packing import pack_documents
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifiers nor the tokeniser; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

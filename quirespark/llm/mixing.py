@@ -63,65 +63,100 @@ def uniform(key: F.Column) -> F.Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(_UNIFORM)
 
 
-def mix_sources(
+def _with_plan(rows: DataFrame, plan: DataFrame, few: bool, salts: int = 16) -> DataFrame:
+    """``rows`` with their source's plan. The plan has one row a source: broadcast if its
+    count was found small, else joined on source and a salt, so that a hot source is split."""
+    plan = plan.withColumnRenamed("source", "of")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if few:
+        return rows.join(F.broadcast(plan), same).drop("of")
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("salt_", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    return rows.join(plan, same & (F.col("salt_") == F.col("salt"))).drop("of", "salt", "salt_")
+
+
+def _drawn(rows: DataFrame, buckets: int) -> DataFrame:
+    """Every row's uniform number, its Pareto rank and the bucket of that.
+
+    Within a source the rank grows with u, so that buckets of u are buckets of rank."""
+    u, p = F.col("u"), F.col("rest")
+    return (
+        rows.withColumn("u", uniform(F.col("id")))
+        .withColumn("rank", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))).otherwise(float("inf")))
+        .withColumn("bucket", F.floor(u * buckets).cast("int"))
+    )
+
+
+def mix_copies(
     docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, id_col: str = "doc_id",
-    text_col: str = "text", source_col: str = "source", buckets: int = BUCKETS,
+    text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, buckets: int = BUCKETS,
+    few_sources: int = 20_000,
 ) -> DataFrame:
-    """One row a row of ``docs``: id, source, size, source_size, target, copies, taken.
-
-    Null text has size 0, null source is a source. Rows of the same id draw the same number;
-    among ties the smaller id, then the smaller size, is taken first, and among wholly equal
-    rows any (the result is the same). An empty table gives an empty result; other columns
-    are not read. If all texts are blank, all targets are 0.
+    """A row a row of ``docs``: the columns ``keep`` (id and source if not given), then
+    __size, __source_size, __target and __copies, how often the mix takes it.
+
+    Null text has size 0; null source is a source. Rows of the same id draw the same number;
+    among equal ranks the smaller id, then the smaller size, is taken first, and rows equal in
+    all three are taken together or not at all. An empty table gives an empty result; other
+    columns are not read. If all texts are blank, all targets are 0. Documents themselves are
+    never shuffled: each source's last taken (rank, id, size) is found from narrow rows, and
+    every document compares its own with it.
     """
-    sizes = materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col).cast("string")).alias("size")),
-        "sizes",
+    size = word_count(F.col(text_col).cast("string"))
+    sizes = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    plan = (
+        source_targets(sizes, weights, cap)
+        .withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+        .withColumns({"certain": F.floor("expected").cast("long"), "rest": F.col("expected") - F.floor("expected")})
+        .withColumn("missing", F.col("target") - F.col("certain") * F.col("source_size"))
     )
-    targets = source_targets(sizes, weights, cap)
-    plan = targets.select(
-        "source", "source_size", "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("expected"),
-    ).withColumns({"certain": F.floor("expected").cast("long"), "rest": F.col("expected") - F.floor("expected")})
-    plan = materialise(plan.withColumn("missing", F.col("target") - F.col("certain") * F.col("source_size")), "plan")
-
-    salts = 16
-    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("source", "of")
-    drawn = sizes.withColumn("u", uniform(F.col("id")))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("rest") / (1 - F.col("rest")))
-    ranked = (
-        drawn.withColumn("salt_", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        .join(salted, F.col("source").eqNullSafe(F.col("of")) & (F.col("salt_") == F.col("salt")))
-        .drop("of", "salt", "salt_")
-        .withColumn("rank", F.when(F.col("rest") > 0, odds).otherwise(float("inf")))
-        # Within a source the rank grows with u, so that buckets of u are buckets of rank.
-        .withColumn("bucket", F.floor(F.col("u") * buckets).cast("int"))
-    )
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+    plan = materialise(plan, "plan")
+    few = plan.count() <= few_sources
+    ranked = _drawn(_with_plan(sizes, plan, few), buckets)
+
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        sums.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
+    edge = materialise(
+        ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+        .withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
         .where((F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")))
-        .select(F.col("source").alias("of"), F.col("bucket").alias("edge"), "before")
-    )
-    edge = materialise(edge, "edge")
-    edges = edge.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = (
-        ranked.withColumn("salt_", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        .join(edges, F.col("source").eqNullSafe(F.col("of")) & (F.col("salt_") == F.col("salt")), "left")
-        .drop("of", "salt", "salt_")
+        .select("source", F.col("bucket").alias("edge"), "before"),
+        "edge",
     )
     inside = Window.partitionBy("source").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    on_edge = placed.where(F.col("bucket") == F.col("edge")).withColumn(
-        "at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    )
-    # The last one is taken if that brings the sum nearer to what is missing.
-    on_edge = on_edge.withColumn("extra", F.when(F.col("at") + F.col("size") / 2 < F.col("missing"), 1).otherwise(0)).drop("at")
-    off_edge = placed.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn(
-        "extra", F.when((F.col("rest") > 0) & (F.col("bucket") < F.col("edge")), 1).otherwise(0)
+    on_edge = _with_plan(ranked, edge, few).where(F.col("bucket") == F.col("edge"))
+    cut = (
+        on_edge.groupBy("source", "rank", "id", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("missing").alias("missing"))
+        .withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+        # The last one is taken if that brings the sum nearer to what is missing.
+        .where(F.col("at") + F.col("size") * F.col("n") / 2 < F.col("missing"))
+        .groupBy("source").agg(F.max(F.struct("rank", "id", "size")).alias("last"))
+    )
+    edge = edge.withColumnsRenamed({"source": "e_source"}).drop("before")
+    cut = cut.withColumnRenamed("source", "c_source")
+    final = materialise(
+        plan.join(edge, plan.source.eqNullSafe(edge.e_source), "left").join(cut, plan.source.eqNullSafe(cut.c_source), "left")
+        .select("source", "source_size", "target", "certain", "rest", "edge", "last"),
+        "cuts",
+    )
+    if keep is None:
+        keep, rows = [id_col, source_col], sizes.select(F.col("id").alias("k0"), F.col("source").alias("k1"), "id", "source", "size")
+    else:
+        rows = docs.select(
+            *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")
+        )
+    placed = _drawn(_with_plan(rows, final, few), buckets)
+    mine = F.struct("rank", "id", "size")
+    taken = (F.col("rest") > 0) & (
+        (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(mine <= F.col("last"), F.lit(False)))
     )
-    copies = (F.col("certain") + F.col("extra")).cast("long")
-    return off_edge.unionByName(on_edge).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+    copies = (F.col("certain") + F.when(taken, 1).otherwise(0)).cast("long")
+    return placed.select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("size").alias("__size"), F.col("source_size").alias("__source_size"),
+        F.col("target").alias("__target"), copies.alias("__copies"),
     )
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """mix_copies() as plain columns: id, source, size, source_size, target, copies, taken."""
+    made = mix_copies(docs, **options)
+    return made.withColumn("taken", F.col("__copies") * F.col("__size")).withColumnsRenamed({f"__{c}": c for c in ("size", "source_size", "target", "copies")})

@@ -23,6 +23,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirespark.llm.quality import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirespark.llm.language import fit_languages, identify_languages
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify_languages(docs, fit_languages(docs))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirespark.llm.simhash import simhash_groups
 
@@ -32,7 +46,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_source_mixing, op7_simhash_near_dedup,
+        op1_best_fit_packing, op2_source_mixing, op5_quality_classifier, op6_language_id, op7_simhash_near_dedup,
     )
 }
 
