@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirespark.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirespark.llm.chat import format_chats, read_back
 
@@ -62,7 +69,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_source_mixing, op5_quality_classifier, op6_language_id, op7_simhash_near_dedup,
-        op9_chat_formatting, op10_media_columns,
+        op8_nearest_neighbours, op9_chat_formatting, op10_media_columns,
     )
 }
 
