@@ -24,6 +24,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lm_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirespark.llm.crossparse import cross_parse
+
+    return cross_parse(_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirespark.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    chain = fit_toxicity(docs, _table(spark, sf_dir, "labels"), {"junk": "1 - quality", "toxic": "toxic"})
+    return score_toxicity(docs, chain)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirespark.llm.quality import fit_quality, score_quality
 
@@ -68,7 +82,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_source_mixing, op5_quality_classifier, op6_language_id, op7_simhash_near_dedup,
+        op1_best_fit_packing, op2_source_mixing, op3_lm_cross_parsing, op4_toxicity_chain,
+        op5_quality_classifier, op6_language_id, op7_simhash_near_dedup,
         op8_nearest_neighbours, op9_chat_formatting, op10_media_columns,
     )
 }
