@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.llm._common import materialise
 from quirespark.llm.quality import fold
 
 UNKNOWN = "und"
@@ -87,13 +88,14 @@ class LanguageProfiles:
 
 
 def fit_languages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 2000, size: int = 400
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 2000, size: int = 400, few: int = 100_000
 ) -> LanguageProfiles:
     """Profiles from at most ``sample`` documents a language outside the held-out fold.
 
     The documents of the smallest hash of the id are taken. They are found without sorting a
     language: counts by hash bucket are summed before the shuffle, and only the buckets that
-    hold the first ``sample`` rows are ranked.
+    hold the first ``sample`` rows are ranked. Their ids are broadcast to the texts if there
+    are at most ``few`` (languages times ``sample``), and else joined.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 2)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"),
@@ -109,6 +111,9 @@ def fit_languages(
         rows.join(buckets, ["lang", "bucket"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
         .select("id", "lang").distinct()
     )
+    chosen = materialise(chosen, "learned")
+    if chosen.count() <= few:
+        chosen = F.broadcast(chosen)
     texts = docs.where(fold(id_col) != 2).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
