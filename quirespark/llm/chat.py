@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, SEEN, END, NEWLINE = "<|turn|>", "<|seen|>", "<|end|>", "<|nl|>"
+_SAID = "struct<kind:int,n:int,role:string,text:string>"
 _AHEAD = r"(?=\||/?s>|</?SYS>>|/?INST\])"
 
 
@@ -73,30 +74,21 @@ def format_chats(
         .withColumn("crosses", (F.col("end") > (F.col("step") + 1) * F.col("stride")) & (F.col("begin") > F.col("step") * F.col("stride")))
         .withColumn("span", (F.col("step") * 2 + F.col("crosses").cast("long")).cast("long"))
     )
-    fields = ["conv", "span", "kind", "n", "role", "text", "tokens"]
-    own = turns.withColumn("kind", F.lit(2)).select(fields)
-    spans = turns.where(~F.col("system")).groupBy("conv", "span").agg(F.min("begin").alias("from")).where("from > 0")
-    spans = spans.select(F.col("conv").alias("c"), F.col("span").alias("s"), "from")
-    opening = (
-        turns.where("system").join(spans, F.col("conv").eqNullSafe(F.col("c")))
-        .select("conv", F.col("s").alias("span"), F.lit(0).alias("kind"), "n", "role", "text", "tokens")
-    )
-    parts = [own, opening]
+    # All of this needs one order of a conversation's turns: one shuffle, and frames that spill.
+    said = lambda kind: F.struct(F.lit(kind).alias("kind"), "n", "role", "text")
+    turns = turns.withColumn("opens", (F.row_number().over(Window.partitionBy("conv", "span").orderBy("n")) == 1) & (F.col("begin") > 0))
     if history > 0:
-        # A turn that ends at e is history of spans that start in [e, begin + history].
-        near = spans.withColumn("at", F.floor(F.col("from") / history))
-        past = turns.where(~F.col("system")).withColumn("near", F.explode(F.array(F.floor(F.col("end") / history), F.floor(F.col("end") / history) + 1)))
-        parts.append(
-            past.join(near, F.col("conv").eqNullSafe(F.col("c")) & (F.col("near") == F.col("at")))
-            .where((F.col("end") <= F.col("from")) & (F.col("begin") >= F.col("from") - history))
-            .select("conv", F.col("s").alias("span"), F.lit(1).alias("kind"), "n", "role", "text", "tokens")
-        )
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionAll(part)
-    windows = rows.groupBy("conv", "span").agg(
-        F.sort_array(F.collect_list(F.struct("kind", "n", "role", "text"))).alias("turns"), F.sum("tokens").alias("tokens")
+        # Earlier turns begin before this one; those that begin within ``history`` are repeated.
+        near = Window.partitionBy("conv").orderBy("begin").rangeBetween(-history, -1)
+        turns = turns.withColumn("past", F.when(F.col("opens"), F.collect_list(F.when(~F.col("system"), said(1))).over(near)))
+    else:
+        turns = turns.withColumn("past", F.array().cast(f"array<{_SAID}>"))
+    start = F.first(F.when(F.col("system"), said(0))).over(so_far)
+    turns = turns.withColumn("start", F.when(F.col("opens"), F.array_compact(F.array(start))))
+    windows = turns.groupBy("conv", "span").agg(
+        F.sort_array(F.concat(F.flatten(F.collect_list("start")), F.flatten(F.collect_list("past")), F.collect_list(said(2)))).alias("turns")
     )
+    tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + count_tokens(t["text"]))
     head = lambda t: F.concat(F.when(t["kind"] == 2, F.lit(TURN)).otherwise(F.lit(SEEN)), _escape_role(t["role"]), F.lit("\n"))
     windows = windows.withColumn(
         "parts",
@@ -114,7 +106,7 @@ def format_chats(
         lambda a: a["found"],
     )
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return windows.select(F.col("conv").alias("conv_id"), F.col("span").alias("window"), text.alias("text"), targets.alias("targets"), "tokens")
+    return windows.select(F.col("conv").alias("conv_id"), F.col("span").alias("window"), text.alias("text"), targets.alias("targets"), tokens.alias("tokens"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
