@@ -52,7 +52,7 @@ def escape_structure(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    trimmed = F.transform(F.split(text, r"\n\s*\n"), lambda b: F.regexp_replace(F.regexp_replace(b, r"(?m)[ \t]+$", ""), r"^\n+|\n+$", ""))
+    trimmed = F.transform(F.split(text, r"\n\s*\n"), lambda b: F.regexp_replace(F.regexp_replace(b, r"(?md)[ \t\r]+$", ""), r"^\n+|\n+$", ""))
     return F.array_join(F.filter(trimmed, lambda b: F.trim(b) != ""), "\n\n")
 
 

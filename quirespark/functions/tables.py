@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @F.udtf(returnType="cue int, start double, end double, text string")
@@ -73,28 +74,28 @@ class ArchiveEntries:
             yield e["entry"], e["size"], e["kind"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_markdown(html: pd.Series) -> pd.Series:
     from quirespark.operators.html import html_to_markdown
 
     return html.map(lambda h: html_to_markdown(h or "")[0])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def text_markdown(text: pd.Series) -> pd.Series:
     from quirespark.operators.textual import plain_to_markdown
 
     return text.map(lambda t: plain_to_markdown(t or "")[0])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rtf_text(text: pd.Series) -> pd.Series:
     from quirespark.operators.office import strip_rtf
 
     return text.map(lambda t: strip_rtf(t or ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def file_name(name: pd.Series) -> pd.Series:
     from quirespark.functions.safety import safe_filename
 

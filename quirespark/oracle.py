@@ -138,7 +138,7 @@ SQL: dict[str, str] = {
     "escape_structure": f"""SELECT doc_id, md5(array_to_string(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda b: array_to_string(list_transform({_LINES.format('b')},
       lambda x: regexp_replace(CASE WHEN regexp_matches(b, {_THREE}) AND regexp_matches(x, {_ITEM}) THEN x ELSE {_block('x')} END, '\\s+$', '')), chr(10))), chr(10) || chr(10))) AS digest FROM {_TEXTS}""",
     "paragraphs": f"""SELECT doc_id, len(list_filter(bs, lambda b: trim(b) <> '')) AS blocks, md5(array_to_string(list_filter(list_transform(bs,
-      lambda b: regexp_replace(regexp_replace(b, '(?m)[ \\t]+$', '', 'g'), '^\\n+|\\n+$', '', 'g')), lambda b: trim(b) <> ''), chr(10) || chr(10))) AS digest
+      lambda b: regexp_replace(regexp_replace(b, '(?m)[ \\t\\r]+$', '', 'g'), '^\\n+|\\n+$', '', 'g')), lambda b: trim(b) <> ''), chr(10) || chr(10))) AS digest
       FROM (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n') AS bs FROM {_TEXTS})""",
     "fence_length": f"""WITH r AS (SELECT *, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) AS run FROM {_TEXTS}),
       t AS (SELECT *, repeat('`', CASE WHEN run >= 3 THEN run + 1 ELSE 3 END::BIGINT) AS ticks FROM r)
