@@ -12,24 +12,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("paths", nargs="*", help="files or folders")
     p.add_argument("--out", help="folder of the output; beside the sources in .md/ if not given")
     p.add_argument("--table", help="write the results as a Parquet table instead of files")
-    p.add_argument("--stdout", action="store_true", help="print the Markdown of a single file")
-    p.add_argument("--formats", action="store_true", help="list formats and their readers")
     p.add_argument("--format", dest="force_format", help="skip detection")
     p.add_argument("--pattern", action="append", dest="patterns", help="glob of names to take")
     p.add_argument("--exclude", action="append", help="glob of names or paths to leave out")
-    p.add_argument("--overwrite", action="store_true")
-    p.add_argument("--flat", action="store_true", help="do not mirror the tree")
+    switches = {"stdout": "print the Markdown", "formats": "list formats and their readers", "overwrite": "replace files", "flat": "do not mirror the tree",
+                "numbered-headings": "see headings in numbered lines", "report-json": "write diagnoses beside each file"}
+    for name, meaning in switches.items():
+        p.add_argument("--" + name, action="store_true", help=meaning)
     p.add_argument("--master", default="local[*]")
     for name in ("front-matter", "report", "links", "images", "chrome-filter", "code-outline", "csv-header"):
         p.add_argument(f"--no-{name}", action="store_true")
-    p.add_argument("--csv-max-rows", type=int)
-    p.add_argument("--json-max-rows", type=int)
-    p.add_argument("--numbered-headings", action="store_true")
-    p.add_argument("--report-json", action="store_true")
+    for name in ("csv-max-rows", "json-max-rows"):
+        p.add_argument(f"--{name}", type=int)
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(words: list[str] | None = None) -> int:
     """0: all converted; 1: some failed or are empty; 2: nothing to do."""
     from pyspark.sql import functions as F
 
@@ -40,7 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     from quirespark.session import session
     from quirespark.sources.files import read_contents, walk
 
-    args = parser().parse_args(argv)
+    args = parser().parse_args(words)
     if args.formats:
         for r in load().describe():
             print(f"{r['format']:22} {r['converter']:22} {'yes' if r['available'] else 'needs ' + r['requires']}")

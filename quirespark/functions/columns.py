@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ITEM = r"^\s{0,3}(?:\d+[.)]|[-*+])\s+\S"
-_THREE_ITEMS = r"(?m)(?:^\s{0,3}(?:\d+[.)]|[-*+])[ \t]+\S.*(?:\n|$)){3}"
+_ITEM = r"^\s{0,3}(?:[*+-]|\d+[).])\s+\S"
+_THREE_ITEMS = r"(?m)(?:^\s{0,3}(?:[*+-]|\d+[).])[ \t]+\S.*(?:\n|$)){3}"
 
 
 def _lines(text: Column) -> Column:
@@ -148,7 +148,7 @@ def details(summary: Column, body: Column) -> Column:
 
 def promote_underlined(text: Column) -> Column:
     """Titles underlined with marks become headings; a fold that remembers the line before."""
-    rule = r"^\s*(={3,}|-{3,}|\*{3,}|_{3,})\s*$"
+    rule = r"^\s*(={3,}|_{3,}|-{3,}|\*{3,})\s*$"
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"))
 
     def step(a: Column, x: Column) -> Column:
@@ -165,7 +165,7 @@ def promote_underlined(text: Column) -> Column:
 def promote_numbered(text: Column) -> Column:
     def line(x: Column) -> Column:
         bare = F.trim(x)
-        depth = F.length(F.regexp_extract(bare, r"^(\d+(?:\.\d+)*)", 1)) - F.length(F.replace(F.regexp_extract(bare, r"^(\d+(?:\.\d+)*)", 1), F.lit("."), F.lit(""))) + 1
+        depth = F.length(F.regexp_extract(bare, r"^(\d+(?:[.]\d+)*)", 1)) - F.length(F.replace(F.regexp_extract(bare, r"^(\d+(?:[.]\d+)*)", 1), F.lit("."), F.lit(""))) + 1
         return (
             F.when(bare.rlike(r"^\d+(?:\.\d+)*[.)]?\s+\S.{1,80}$"), heading(F.least(depth, F.lit(4)), bare))
             .when((F.length(bare) <= 100) & bare.rlike(r"^(?:第.{1,12}?[章节篇部]|[Cc]hapter\s+\d+)"), heading(1, bare)).otherwise(x)
@@ -194,7 +194,7 @@ def lift_front_matter(text: Column) -> Column:
 
 def yaml_scalar(text: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    odd = (text == "") | text.rlike(r"""[:#\[\]{}&*!|>'"%@`]""") | F.lower(text).isin("true", "false", "null", "yes", "no")
+    odd = (text == "") | text.rlike(r"""[%@!*&|>#:'"`{}\[\]]""") | F.lower(text).isin("no", "yes", "null", "false", "true")
     return F.when(odd, quoted).otherwise(text)
 
 
@@ -206,7 +206,7 @@ def front_matter(fields: list[tuple[str, Column]]) -> Column:
 
 def body_of(parts: Column) -> Column:
     text = F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, r"^\n+|\n+$", "")), "\n\n")
-    text = strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    text = strip(F.regexp_replace(text, r"\n\n\n+", "\n\n"))
     return F.when(text == "", "").otherwise(F.concat(text, F.lit("\n")))
 
 
@@ -215,7 +215,7 @@ def title_in_body(title: Column, body: Column) -> Column:
     target = F.lower(squash(title))
 
     def says(line: Column) -> Column:
-        bare = F.regexp_replace(F.lower(squash(F.regexp_replace(line, r"^[#>\-*\s]+", ""))), r"^[*_` ]+|[*_` ]+$", "")
+        bare = F.regexp_replace(F.lower(squash(F.regexp_replace(line, r"^[\s*>#-]+", ""))), r"^[*_` ]+|[*_` ]+$", "")
         return (bare != "") & (bare.startswith(target) | F.startswith(target, bare)) & (F.least(F.length(bare), F.length(target)) >= 4)
 
     return (target == "") | F.exists(_lines(body), says)
@@ -233,7 +233,7 @@ def strip_ansi(text: Column) -> Column:
 
 
 def seconds(stamp: Column) -> Column:
-    p = r"(\d{1,2}):(\d{2}):(\d{2})[.,](\d{1,3})"
+    p = r"(\d\d?):(\d\d):(\d\d)[,.](\d{1,3})"
     part = lambda i: F.regexp_extract(stamp, p, i)
     whole = part(1).cast("int") * 3600 + part(2).cast("int") * 60 + part(3).cast("int")
     return F.when(part(1) != "", whole + part(4).cast("int") / F.pow(F.lit(10.0), F.length(part(4))))
@@ -250,18 +250,18 @@ def column_index(ref: Column) -> Column:
 
 
 def diff_stats(text: Column) -> Column:
-    names = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^(?:\+\+\+|---)\s+([^\t\n]+)"), F.lit(1)), lambda n: n != "/dev/null"))
+    names = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^(?:-{3}|\+{3})\s+([^\n\t]+)"), F.lit(1)), lambda n: n != "/dev/null"))
     count = lambda a, b: F.size(F.filter(_lines(text), lambda x: x.startswith(a) & ~x.startswith(b)))
     return F.struct(F.size(names).alias("files"), count("+", "+++").alias("added"), count("-", "---").alias("removed"))
 
 
 def svg_labels(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"(?is)<(?:text|tspan|title|desc)\b[^>]*>(.*?)</(?:text|tspan|title|desc)>"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"(?is)<(?:desc|title|t(?:span|ext))\b[^<>]*>(.*?)</(?:desc|title|t(?:span|ext))>"), F.lit(1))
     return F.filter(F.transform(found, lambda x: squash(F.regexp_replace(x, r"<[^>]+>", ""))), lambda x: x != "")
 
 
 def xml_tags(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"<\s*([A-Za-z_][\w.:-]*)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"<\s*([_A-Za-z][\w:.-]*)"), F.lit(1))
 
 
 def best_delimiter(text: Column) -> Column:

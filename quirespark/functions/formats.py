@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
 import os
@@ -44,16 +45,15 @@ LANGUAGES |= {
     for e in "tsx jsx java scala go php swift lua r zsh fish sql cmake vue svelte dart elm zig nim asm toml ini json rst org srt vtt ass ssa "
     "properties dockerfile makefile".split()
 }
-_OFFICE = "application/vnd.openxmlformats-officedocument."
-MEDIA_TYPES = {
-    "csv": "text/csv", "jsonl": "application/x-ndjson", "svg": "image/svg+xml", "diff": "text/x-diff", "subtitle": "text/vtt",
-    "docx": _OFFICE + "wordprocessingml.document", "pptx": _OFFICE + "presentationml.presentation", "xlsx": _OFFICE + "spreadsheetml.sheet",
-    "doc_legacy": "application/msword", "ppt_legacy": "application/vnd.ms-powerpoint", "xls_legacy": "application/vnd.ms-excel",
-    "odf": "application/vnd.oasis.opendocument.text", "epub": "application/epub+zip", "notebook": "application/x-ipynb+json",
-    "email": "message/rfc822", "archive": "application/zip", "image": "image/*", "binary": "application/octet-stream",
-    **{k: "text/plain" for k in ("text", "ini", "code")}, **{k: f"text/{k}" for k in ("markdown", "html")},
-    **{k: f"application/{k}" for k in ("json", "xml", "yaml", "toml", "rtf", "pdf")},
-}
+_MEDIA = """
+text text/plain|ini text/plain|code text/plain|markdown text/markdown|html text/html|csv text/csv|diff text/x-diff|subtitle text/vtt
+json application/json|xml application/xml|yaml application/yaml|toml application/toml|rtf application/rtf|pdf application/pdf
+archive application/zip|epub application/epub+zip|jsonl application/x-ndjson|notebook application/x-ipynb+json|binary application/octet-stream
+xls_legacy application/vnd.ms-excel|ppt_legacy application/vnd.ms-powerpoint|doc_legacy application/msword|email message/rfc822
+xlsx application/vnd.openxmlformats-officedocument.spreadsheetml.sheet|pptx application/vnd.openxmlformats-officedocument.presentationml.presentation
+docx application/vnd.openxmlformats-officedocument.wordprocessingml.document|odf application/vnd.oasis.opendocument.text|image image/*|svg image/svg+xml
+"""
+MEDIA_TYPES = dict(entry.split(" ") for entry in _MEDIA.strip().replace("\n", "|").split("|"))
 FALLBACK_MEDIA = MEDIA_TYPES["binary"]
 SIGNATURES = [
     ("255044462d", "pdf"), ("504b0304", "zip"), ("d0cf11e0a1b11ae1", "ole"), ("7b5c727466", "rtf"), ("89504e470d0a1a0a", "image"),
@@ -74,13 +74,14 @@ class Format:
     extension: str = ""
     media_type: str = FALLBACK_MEDIA
     language: str = ""
-    text_encoding: str = "utf-8"
     confidence: str = "extension"
+    text_encoding: str = "utf-8"
     note: str = ""
 
+    # Formats that are only refused say so in their name.
     @property
     def supported(self) -> bool:
-        return not self.key.startswith("unsupported")
+        return self.key.partition("_")[0] != "unsupported"
 
     def row(self) -> dict:
         return asdict(self)
@@ -96,10 +97,9 @@ def describe(key: str, ext: str, **more: str) -> Format:
 
 def detect_encoding(raw: bytes) -> str:
     """The encoding that a text's bytes are in; UTF-8 and then GB18030 before any statistics."""
-    if raw.startswith(b"\xef\xbb\xbf"):
-        return "utf-8-sig"
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "utf-16"
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if raw[: len(mark)] == mark:
+            return name
     for name in ("utf-8", "gb18030"):
         try:
             raw.decode(name)
@@ -128,7 +128,7 @@ def decode(raw: bytes) -> Text:
         text, bad = raw.decode(encoding), False
     except (UnicodeDecodeError, LookupError):
         text, bad = raw.decode(encoding if encoding != "utf-8-sig" else "utf-8", "replace"), True
-    newline = "\r\n" if "\r\n" in text else "\r" if "\r" in text and "\n" not in text else "\n"
+    newline = next((n for n in ("\r\n", "\n", "\r") if n in text), "\n")
     return Text(re.sub(r"\r\n?", "\n", text), encoding, bad or "�" in text, newline)
 
 
@@ -136,19 +136,21 @@ def zip_kind(raw: bytes) -> str:
     try:
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             names = set(z.namelist())
-            for part, kind in (("word/document.xml", "docx"), ("ppt/presentation.xml", "pptx"), ("xl/workbook.xml", "xlsx")):
-                if part in names:
+            for kind, part in {"xlsx": "xl/workbook", "pptx": "ppt/presentation", "docx": "word/document"}.items():
+                if f"{part}.xml" in names:
                     return kind
             if "mimetype" in names:
                 return "epub" if z.read("mimetype").startswith(b"application/epub") else "odf"
-            return "epub" if any(n.startswith("META-INF/") for n in names) else "archive"
+            booked = [n for n in names if n[:9] == "META-INF/"]
+            return "epub" if booked else "archive"
     except (zipfile.BadZipFile, OSError, NotImplementedError, RuntimeError):
         return "archive"
 
 
 def looks_html(text: str) -> bool:
-    head = text[:2048].lower()
-    return bool(re.search(r"<!doctype html|<html|<head|<body", head)) or len(re.findall(r"<(?:div|p|span|a|table|ul|li|h[1-6])[\s>]", head)) >= 3
+    head = text[:_HEAD // 4].lower()
+    marked = re.search("<(?:!doctype html|html|head|body)", head)
+    return marked is not None or len(re.findall(r"<(?:h[1-6]|li|ul|table|span|div|a|p)[\s>]", head)) >= 3
 
 
 def looks_json(text: str) -> bool:
@@ -164,7 +166,7 @@ def looks_json(text: str) -> bool:
 
 def looks_delimited(text: str) -> bool:
     lines = [x for x in text.split("\n") if x.strip()][:12]
-    if len(lines) < 2:
+    if not lines[1:]:
         return False
     for mark in ",\t;|":
         counts = [x.count(mark) for x in lines]
@@ -187,8 +189,8 @@ def detect(name: str, raw: bytes, sniff: bool = True) -> Format:
         if kind == "zip":
             kind = zip_kind(raw)
         elif kind == "ole":
-            kind = {".doc": "doc_legacy", ".xls": "xls_legacy", ".ppt": "ppt_legacy", ".msg": "msg_legacy"}.get(ext, "unsupported_binary")
-        elif kind == "riff" and head[8:12] == b"WEBP":
+            kind = f"{ext[1:]}_legacy" if ext in (".msg", ".ppt", ".xls", ".doc") else "unsupported_binary"
+        elif kind == "riff" and head.find(b"WEBP", 8, 12) == 8:
             kind = "image"
         elif kind in ("riff", "audio", "video"):
             kind, note = "unsupported_media", "audio or video, by its signature"
@@ -206,7 +208,7 @@ def detect(name: str, raw: bytes, sniff: bool = True) -> Format:
         for kind, test in (("html", looks_html), ("json", looks_json), ("csv", looks_delimited)):
             if test(text):
                 return describe(kind, ext, text_encoding=encoding, confidence="content")
-        if re.search(r"^#{1,6}\s+\S", text, re.M):
+        if re.search(r"(?m)^#{1,6}\s+\S", text):
             return describe("markdown", ext, text_encoding=encoding, confidence="content")
         return describe("text", ext, text_encoding=encoding, confidence="extension" if key else "fallback")
     return describe(key, ext, text_encoding=encoding)
@@ -250,7 +252,7 @@ def signature_column(content: Column) -> Column:
 
 def html_column(text: Column) -> Column:
     head = F.lower(F.substring(text, 1, 2048))
-    return head.rlike(r"<!doctype html|<html|<head|<body") | (F.regexp_count(head, F.lit(r"<(?:div|p|span|a|table|ul|li|h[1-6])[\s>]")) >= 3)
+    return head.rlike(r"<!doctype html|<html|<head|<body") | (F.regexp_count(head, F.lit(r"<(?:h[1-6]|li|ul|table|span|div|a|p)[\s>]")) >= 3)
 
 
 def json_column(text: Column) -> Column:

@@ -7,8 +7,11 @@ import re
 from collections.abc import Iterable, Sequence
 from typing import Any
 
+Rows = Iterable[Sequence[Any]]
+Pairs = Iterable[tuple[Any, Any]]
 _SPACES = re.compile("[ \t 　]+")
-_ITEM = re.compile(r"\s{0,3}(?:\d+[.)]|[-*+])\s+\S")
+_NEWLINE = "\n"
+_ITEM = re.compile(r"\s{0,3}(?:[*+-]|\d+[).])\s+\S")
 _LEAD = re.compile(r"^( {0,3})(#{1,6}(?= )|>|[-*+](?= )|\d+[.)](?= )|```|~~~|\|)")
 _INLINE = re.compile(r"[\\`*_{}\[\]<>|]")
 
@@ -17,21 +20,27 @@ def squash(text: str) -> str:
     return _SPACES.sub(" ", re.sub(r"[\r\n]", " ", text)).strip()
 
 
-def inline_value(value: Any) -> str:
+def inline_value(value: object) -> str:
+    """How a cell shows a value."""
     match value:
         case None:
             return ""
         case bool():
             return str(value).lower()
-        case float() if value.is_integer() and abs(value) < 1e15:
-            return str(int(value))
+        case float() if abs(value) < 1e15 and value == int(value):
+            return f"{value:.0f}"
         case float():
             return repr(value)
         case list() | tuple() | dict():
-            return json.dumps(value, ensure_ascii=False, default=str)
+            return json.dumps(value, default=str, ensure_ascii=False)
     return str(value)
 
 
+def blocks(text: str) -> list[str]:
+    """What blank lines part."""
+    return re.split(r"\n\s*\n", text)
+
+
 def escape_inline(text: str) -> str:
     return _INLINE.sub(lambda m: "\\" + m[0], text)
 
@@ -40,24 +49,24 @@ def escape_block_line(line: str) -> str:
     return _LEAD.sub(r"\1\\\2", line, count=1)
 
 
-def escape_structure(text: str) -> str:
+def escape_structure(text: str, items: int = 3) -> str:
     """Escape what would start a block, but for real lists: three items in a row or more."""
     out = []
-    for block in re.split(r"\n\s*\n", text):
+    for block in blocks(text):
         lines = block.split("\n")
         flags = [bool(_ITEM.match(x)) for x in lines]
         run = best = 0
         for hit in flags:
             run = run + 1 if hit else 0
             best = max(best, run)
-        real = best >= 3
+        real = best >= items
         out.append("\n".join((x if real and hit else escape_block_line(x)).rstrip() for x, hit in zip(lines, flags)))
     return "\n\n".join(out)
 
 
 def paragraphs(text: str) -> str:
-    blocks = ("\n".join(x.rstrip() for x in b.split("\n")).strip("\n") for b in re.split(r"\n\s*\n", text))
-    return "\n\n".join(b for b in blocks if b.strip())
+    kept = ("\n".join(map(str.rstrip, b.split("\n"))).strip("\n") for b in blocks(text))
+    return "\n\n".join(filter(str.strip, kept))
 
 
 def fence(content: str, language: str = "", least: int = 3) -> str:
@@ -66,25 +75,27 @@ def fence(content: str, language: str = "", least: int = 3) -> str:
     return f"{ticks}{language}\n{content.strip(chr(10))}\n{ticks}"
 
 
-def heading(level: int, text: str) -> str:
-    return f"{'#' * min(max(int(level), 1), 6)} {squash(text)}".rstrip()
+def heading(level: int, title: str) -> str:
+    """Levels beyond one to six are brought into that range."""
+    return f"{'#' * min(max(int(level), 1), 6)} {squash(title)}".rstrip()
 
 
 def cell(value: Any) -> str:
-    return squash(inline_value(value)).replace("|", "\\|")
+    return squash(inline_value(value)).replace("|", r"\|")
 
 
-def table(rows: Iterable[Sequence[Any]], header: bool = True) -> str:
+def table(rows: Rows, header: bool = True) -> str:
     grid = [r for r in ([cell(v) for v in row] for row in rows) if any(r)]
     if not grid:
         return ""
     width = max(map(len, grid))
     grid = [r + [""] * (width - len(r)) for r in grid]
     top, rest = (grid[0], grid[1:]) if header else ([""] * width, grid)
-    return "\n".join("| " + " | ".join(r) + " |" for r in [top, ["---"] * width, *rest])
+    lines = [top, ["---"] * width, *rest]
+    return "\n".join(f"| {' | '.join(line)} |" for line in lines)
 
 
-def kv_table(pairs: Iterable[tuple[Any, Any]], key_header: str = "Field") -> str:
+def kv_table(pairs: Pairs, key_header: str = "Field") -> str:
     kept = [(k, v) for k, v in pairs if v is not None and v != ""]
     return table([(key_header, "Value"), *kept]) if kept else ""
 
@@ -97,17 +108,20 @@ def numbered(items: Iterable[str]) -> str:
     return "\n".join(f"{i}. " + x.strip().replace("\n", "\n   ") for i, x in enumerate(items, 1) if x and x.strip())
 
 
-def image(alt: str, path: str, title: str = "") -> str:
+def image(alt: str, place: str, title: str = "") -> str:
+    """Square brackets in the description become round ones."""
     alt = alt.translate({91: 40, 93: 41})
-    return f'![{alt}]({path} "{title}")' if title else f"![{alt}]({path})"
+    return f'![{alt}]({place} "{title}")' if title else f"![{alt}]({place})"
 
 
-def link(text: str, url: str) -> str:
-    return f"[{text or url}]({url})"
+def link(label: str, url: str) -> str:
+    """A link without a text shows its address."""
+    return f"[{label or url}]({url})"
 
 
-def blockquote(text: str) -> str:
-    return "\n".join("> " + x if x.strip() else ">" for x in text.split("\n"))
+def blockquote(body: str) -> str:
+    """Blank lines stay inside the quote."""
+    return "\n".join(f"> {line}" if line.strip() else ">" for line in body.split(_NEWLINE))
 
 
 def details(summary: str, body: str, opened: bool = False) -> str:
@@ -120,26 +134,24 @@ def escape_html(text: str) -> str:
 
 def yaml_scalar(value: Any) -> str:
     text = inline_value(value)
-    if not text or re.search(r"""[:#\[\]{}&*!|>'"%@`]""", text) or text.lower() in ("true", "false", "null", "yes", "no"):
+    if not text or re.search(r"""[%@!*&|>#:'"`{}\[\]]""", text) or text.lower() in ("no", "yes", "null", "false", "true"):
         return json.dumps(text, ensure_ascii=False)
     return text
 
 
-def front_matter(data: dict[str, Any]) -> str:
-    lines = ["---"]
-    for key, value in data.items():
-        if value is None or value == "" or value == []:
-            continue
-        if isinstance(value, (list, tuple)):
-            lines += [f"{key}:", *(f"  - {yaml_scalar(v)}" for v in value)]
-        else:
-            lines.append(f"{key}: {yaml_scalar(value)}")
-    return "\n".join([*lines, "---"])
+def front_matter(known: dict[str, Any]) -> str:
+    """A YAML block without empty values."""
+    rule, lines = "-" * 3, []
+    for key, value in ((k, v) for k, v in known.items() if v not in (None, "", [])):
+        many = isinstance(value, (tuple, list))
+        lines.append(f"{key}:" if many else f"{key}: {yaml_scalar(value)}")
+        lines += [f"  - {yaml_scalar(item)}" for item in value] if many else []
+    return "\n".join([rule, *lines, rule])
 
 
 def seconds(stamp: str) -> float | None:
     """Seconds of an H:MM:SS,mmm stamp; None for any other form."""
-    m = re.search(r"(\d{1,2}):(\d{2}):(\d{2})[.,](\d{1,3})", stamp)
+    m = re.search(r"(\d\d?):(\d\d):(\d\d)[,.](\d{1,3})", stamp)
     return int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3]) + int(m[4]) / 10 ** len(m[4]) if m else None
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_BYTES, MAX_RATIO, MAX_EXPANDED = 512 << 20, 200, 4 << 30
-_RESERVED = {"con", "prn", "aux", "nul", *(f"{p}{i}" for p in ("com", "lpt") for i in range(1, 10))}
-_UNSAFE = r'[<>:"/\\|?*\x00-\x1f]'
-_PRIVATE = r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.|::1|\[?::1|\[?f[cd]|\[?fe80)"
+_RESERVED = set("aux con nul prn".split()) | {p + d for p in ("lpt", "com") for d in "123456789"}
+_UNSAFE = r'[\x00-\x1f"*/:<>?|\\]'
+_PRIVATE = r"^(0\.|10\.|127\.|172\.(3[01]|2\d|1[6-9])\.|192\.168\.|169\.254\.|localhost|\[?::1|\[?fe80|\[?f[cd])"
 
 
 class UnsafeInput(ValueError):

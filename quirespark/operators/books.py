@@ -13,13 +13,14 @@ from urllib.parse import unquote
 
 from quirespark.functions import markdown as md
 from quirespark.functions.safety import UnsafeInput, safe_filename
-from quirespark.operators.chain import Source, registry
+from quirespark.operators.chain import Source, reads
 from quirespark.operators.html import html_to_markdown
 from quirespark.operators.office import open_package
 from quirespark.schemas import Document, Options
 
-_FB = "{http://www.gribuser.ru/xml/fictionbook/2.0}"
-_PICTURES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg")
+Facts = dict[str, str]
+_BODIES = ("text/html", "text/plain")
+_PICTURES = tuple(".svg .webp .gif .jpeg .jpg .png".split())
 
 
 def _local(tag: str) -> str:
@@ -35,7 +36,7 @@ def package_file(z: zipfile.ZipFile) -> str:
     return next((n.get("full-path", "") for n in root.iter() if _local(n.tag) == "rootfile"), "")
 
 
-def spine(z: zipfile.ZipFile, opf: str) -> tuple[list[str], dict[str, str]]:
+def spine(z: zipfile.ZipFile, opf: str) -> tuple[list[str], Facts]:
     """Parts in reading order (all text parts if there is no spine), and the book's facts."""
     root = ET.fromstring(z.read(opf))
     base, manifest, order, facts = posixpath.dirname(opf), {}, [], {}
@@ -51,7 +52,7 @@ def spine(z: zipfile.ZipFile, opf: str) -> tuple[list[str], dict[str, str]]:
     return parts or [p for p, kind in manifest.values() if "html" in kind], facts
 
 
-@registry.converter("epub", "epub", priority=10, description="chapters in reading order")
+@reads("epub/epub", 10, "chapters in reading order")
 def read_epub(source: Source, options: Options) -> Document:
     doc = Document()
     try:
@@ -65,7 +66,7 @@ def read_epub(source: Source, options: Options) -> Document:
         parts, facts = spine(z, opf)
     except (KeyError, ET.ParseError) as e:
         return doc.fail("failed", "epub-invalid", f"its package document cannot be read: {e}")
-    doc.meta |= {k: facts[k] for k in ("title", "creator", "language", "publisher", "date", "identifier") if k in facts}
+    doc.meta |= {k: facts[k] for k in "identifier title creator publisher date language".split() if k in facts}
     doc.title = facts.get("title", "")
     names, missing, chapters, headings = set(z.namelist()), [], 0, 0
     for part in parts:
@@ -78,7 +79,7 @@ def read_epub(source: Source, options: Options) -> Document:
         headings += stats["headings"]
         if body:
             chapters += 1
-            doc.add(f"<!-- chapter: {posixpath.basename(part)} -->\n\n{body}")
+            doc.add("\n\n".join((f"<!-- chapter: {posixpath.basename(part)} -->", body)))
     pictures = []
     for name in z.namelist() if options.extract_images else ():
         ext = os.path.splitext(name)[1].lower()
@@ -87,16 +88,16 @@ def read_epub(source: Source, options: Options) -> Document:
             doc.asset(safe, z.read(name), f"image/{ext[1:]}", f"epub: {name}")
             pictures.append(md.image(safe, f"assets/{safe}"))
     if pictures:
-        doc.add(md.details(f"Images in the book ({len(pictures)})", "\n\n".join(pictures)))
+        doc.folded("Images in the book (%d)" % len(pictures), "\n\n".join(pictures))
     doc.meta |= {"chapters": chapters, "spine_items": len(parts), "images": len(pictures)}
     if missing:
-        doc.warn("epub-missing-parts", f"{len(missing)} parts are listed but absent: " + ", ".join(missing[:5]))
+        doc.flag("epub-missing-parts", f"parts that are absent ({len(missing)}): {', '.join(missing[:5])}")
     if chapters and not headings:
-        doc.warn("no-headings", "no chapter has a heading", "info")
+        doc.info("no-headings", "no chapter has a heading")
     return doc if chapters else doc.fail("empty", "empty-document", "no chapter has text")
 
 
-@registry.converter("fb2", "fb2", priority=10, description="sections of a FictionBook")
+@reads("fb2/fb2", 10, "sections of a FictionBook")
 def read_fb2(source: Source, options: Options) -> Document:
     doc = Document()
     try:
@@ -104,16 +105,14 @@ def read_fb2(source: Source, options: Options) -> Document:
     except (ET.ParseError, ValueError) as e:
         return doc.fail("failed", "xml-parse-failed", str(e))
     text = lambda n: md.squash("".join(n.itertext()))
-    for tag in ("book-title", "author", "annotation"):
-        nodes = [n for n in root.iter() if _local(n.tag) == tag][:3]
-        found = [t for t in map(text, nodes) if t]
-        if found:
-            doc.meta[tag.replace("-", "_")] = found[-1]
+    for name in ("annotation", "author", "book_title"):
+        nodes = [n for n in root.iter() if _local(n.tag).replace("-", "_") == name]
+        doc.meta |= {name: t for t in map(text, nodes[:3]) if t}
     sections = 0
     for section in (s for b in root.iter() if _local(b.tag) == "body" for s in b.iter() if _local(s.tag) == "section"):
         for child in section:
             if _local(child.tag) == "title" and text(child):
-                doc.add(md.heading(2, text(child)))
+                doc.heading(2, text(child))
                 sections += 1
             elif _local(child.tag) == "p":
                 doc.add(text(child))
@@ -121,14 +120,14 @@ def read_fb2(source: Source, options: Options) -> Document:
     return doc if not doc.blank() else doc.fail("empty", "empty-document", "no text was found")
 
 
-@registry.converter("mobi", "mobi-unsupported", priority=10, description="refused; says what to do instead")
+@reads("mobi/mobi-unsupported", 10, "refused; says what to do instead")
 def read_mobi(source: Source, options: Options) -> Document:
     doc = Document()
     doc.add("> **Unsupported format.** MOBI and AZW books have to be converted to EPUB first.")
     return doc.fail("empty", "unsupported-mobi", "MOBI and AZW are proprietary containers; convert the book to EPUB first")
 
 
-@registry.converter("email", "eml", priority=10, description="headers, body and a list of attachments")
+@reads("email/eml", 10, "headers, body and a list of attachments")
 def read_email(source: Source, options: Options) -> Document:
     doc = Document()
     try:
@@ -138,36 +137,32 @@ def read_email(source: Source, options: Options) -> Document:
         return doc.fail("failed", "eml-parse-failed", str(e))
     if header["Subject"]:
         doc.title = header.pop("Subject")
-        doc.add(md.heading(1, doc.title))
-    doc.add(md.kv_table((k, v) for k, v in header.items() if k != "Subject"))
+        doc.heading(1, doc.title)
+    doc.facts(pair for pair in header.items() if pair[0] != "Subject")
     bodies, attached = {}, []
-    for part in message.walk():
-        if part.is_multipart():
-            continue
+    for part in (p for p in message.walk() if not p.is_multipart()):
         kind, name = part.get_content_type(), part.get_filename()
         payload = part.get_payload(decode=True) or b""
-        if part.get_content_disposition() == "attachment" or (name and kind not in ("text/plain", "text/html")):
+        if part.get_content_disposition() == "attachment" or (name and kind not in _BODIES):
             attached.append((safe_filename(name or "attachment.bin"), kind, f"{len(payload):,}"))
-        elif kind in ("text/plain", "text/html") and kind not in bodies:
+        elif kind in _BODIES and kind not in bodies:
             try:
                 bodies[kind] = part.get_content().replace("\r\n", "\n")
             except (LookupError, ValueError, KeyError):
                 bodies[kind] = payload.decode("utf-8", "replace")
     plain, html = bodies.get("text/plain", ""), bodies.get("text/html", "")
     rendered = html_to_markdown(html, engine=options.html_engine)[0] if html.strip() and (options.eml_prefer_html or not plain.strip()) else ""
-    if plain.strip():
-        doc.add(md.heading(2, "Body"))
-        doc.add(md.paragraphs(plain))
-        if rendered:
-            doc.add(md.details("HTML version of the body", rendered))
+    if plain.strip() or rendered:
+        doc.heading(2, "Body")
+        doc.add(md.paragraphs(plain) if plain.strip() else rendered)
+    if plain.strip() and rendered:
+        doc.folded("HTML version of the body", rendered)
     elif rendered:
-        doc.add(md.heading(2, "Body"))
-        doc.add(rendered)
-        doc.warn("html-only-email", "the message has no plain text; its HTML was rendered", "info")
+        doc.info("html-only-email", "the message has no plain text; its HTML was rendered")
     if attached:
-        doc.add(md.heading(2, "Attachments"))
-        doc.add(md.table([("Filename", "Type", "Bytes"), *attached]))
-        doc.warn("attachments-not-converted", f"{len(attached)} attachments are listed but not converted", "info")
+        doc.heading(2, "Attachments")
+        doc.table([("Filename", "Type", "Bytes"), *attached])
+        doc.info("attachments-not-converted", f"{len(attached)} attachments are listed but not converted")
     doc.meta["attachments"] = len(attached)
     return doc if not doc.blank() else doc.fail("empty", "empty-document", "the message has no text")
 
@@ -179,7 +174,7 @@ def archive_entries(source: Source) -> list[dict]:
     ]
 
 
-@registry.converter("archive", "zip-listing", priority=10, description="an inventory; nothing is extracted")
+@reads("archive/zip-listing", 10, "an inventory; nothing is extracted")
 def read_archive(source: Source, options: Options) -> Document:
     doc = Document()
     try:
@@ -188,10 +183,11 @@ def read_archive(source: Source, options: Options) -> Document:
         return doc.fail("failed", "zip-invalid", str(e))
     except (UnsafeInput, OSError, RuntimeError) as e:
         return doc.fail("failed", "zip-rejected", str(e))
-    doc.add(md.heading(1, f"Archive: {source.name}"))
+    doc.heading(1, f"Archive: {source.name}")
     total = sum(e["size"] for e in entries)
-    doc.add(md.kv_table([("Entries", len(entries)), ("Total uncompressed", f"{total:,} bytes"), ("Compressed", f"{len(source.raw):,} bytes")]))
-    doc.add(md.table([("Entry", "Size", "Type"), *((e["entry"], f"{e['size']:,}", re.sub(r"[|\s]", "_", e["kind"])) for e in entries[:500])]))
+    sizes = {"Total uncompressed": total, "Compressed": len(source.raw)}
+    doc.facts([("Entries", len(entries)), *((k, f"{n:,} bytes") for k, n in sizes.items())])
+    doc.table([("Entry", "Size", "Type"), *((e["entry"], f"{e['size']:,}", re.sub(r"[|\s]", "_", e["kind"])) for e in entries[:500])])
     doc.meta["entries"] = len(entries)
-    doc.warn("archive-not-extracted", "the archive was listed, not converted", "info")
+    doc.info("archive-not-extracted", "the archive was listed, not converted")
     return doc

@@ -43,6 +43,7 @@ class Converter:
     requires: str = ""
     description: str = ""
 
+    # Looked up where the reader would run, without importing anything.
     @property
     def available(self) -> bool:
         return all(importlib.util.find_spec(m) is not None for m in self.requires.split())
@@ -56,36 +57,28 @@ class Outcome:
 
 class Registry:
     def __init__(self) -> None:
-        self._by_key: dict[str, list[Converter]] = {}
+        self._all: list[Converter] = []
 
-    def register(self, converter: Converter, *, replace: bool = False) -> None:
-        chain = self._by_key.setdefault(converter.key, [])
-        if replace:
-            chain[:] = [c for c in chain if c.name != converter.name]
-        chain.append(converter)
-        chain.sort(key=lambda c: c.priority)
-
-    def converter(self, key: str, name: str, *, priority: int = 100, requires: str = "", description: str = "") -> Callable[[Reader], Reader]:
-        def add(fn: Reader) -> Reader:
-            self.register(Converter(key, name, fn, priority, requires, description))
-            return fn
-
-        return add
+    def register(self, added: Converter, *, replace: bool = False) -> None:
+        same = (added.key, added.name)
+        kept = [c for c in self._all if not (replace and (c.key, c.name) == same)]
+        self._all = sorted([*kept, added], key=lambda c: c.priority)
 
     def chain(self, key: str) -> list[Converter]:
-        return list(self._by_key.get(key, ()))
+        """The readers of a format, the preferred one first."""
+        return [c for c in self._all if c.key == key]
 
     def formats(self) -> list[str]:
-        return sorted(self._by_key)
+        return sorted({c.key for c in self._all})
 
     def describe(self) -> Iterable[dict]:
         for key in self.formats():
-            for c in self._by_key[key]:
+            for c in self.chain(key):
                 yield {"format": key, "converter": c.name, "priority": c.priority, "available": c.available, "requires": c.requires, "description": c.description}
 
     def run(self, key: str, source: Source, options: Options) -> Outcome:
         """The first reader that yields text; what was tried before it shows in the warnings."""
-        chain = self._by_key.get(key)
+        chain = self.chain(key)
         if not chain:
             return Outcome(Document().fail("failed", "no-converter", f"no reader is registered for {key}"))
         usable = [c for c in chain if c.available]
@@ -105,13 +98,13 @@ class Registry:
                 best = best or Outcome(doc, c.name)
                 continue
             if c is not usable[0]:
-                doc.warn("fallback-converter", f"read by {c.name} after " + ("; ".join(errors) or "an empty result"))
+                doc.flag("fallback-converter", f"read by {c.name} after " + ("; ".join(errors) or "an empty result"))
             better = [x for x in chain if not x.available and x.priority < c.priority]
             if better:
-                doc.warn("optional-dependency-missing", "better readers need: " + ", ".join(x.requires for x in better), "info")
+                doc.info("optional-dependency-missing", "better readers need: " + ", ".join(x.requires for x in better))
             return Outcome(doc, c.name)
         if best:
-            best.document.warn("no-content", "no reader found any text" + ("; " + "; ".join(errors) if errors else ""), "error")
+            best.document.error("no-content", "; ".join(["no reader found any text", *errors]))
             return best
         missing = [f"{c.name} needs {c.requires}" for c in chain if not c.available]
         return Outcome(Document().fail("failed", "all-converters-failed", "; ".join(errors + missing) or "no reader succeeded"))
@@ -120,6 +113,17 @@ class Registry:
 registry = Registry()
 
 
+def reads(place: str, priority: int, description: str, needs: str = "") -> Callable[[Reader], Reader]:
+    """Adds a function to the readers of a format; ``place`` is format/name."""
+    key, _, name = place.partition("/")
+
+    def add(fn: Reader) -> Reader:
+        registry.register(Converter(key, name, fn, priority, needs, description))
+        return fn
+
+    return add
+
+
 def load() -> Registry:
     """The registry with every built-in reader in it."""
     from quirespark.operators import books, media, office, pdf, structured, textual  # noqa: F401

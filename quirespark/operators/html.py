@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass, field
 from html import unescape
 from html.parser import HTMLParser
@@ -10,9 +11,10 @@ from html.parser import HTMLParser
 from quirespark.functions import markdown as md
 
 DROPPED = frozenset("script style noscript template svg canvas iframe form title meta link base".split())
+_HEAD_ONLY = frozenset("base link meta script style title".split())
 CHROME = frozenset("nav footer header aside".split())
 VOID = frozenset("br hr img input meta link source track wbr col area base embed param".split())
-HEADINGS = {f"h{i}": i for i in range(1, 7)}
+HEADINGS = {"h" + d: int(d) for d in string.digits[1:7]}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -24,7 +26,9 @@ _CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     **{t: ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
 }
+_GAP = re.compile(r"\s+")
 _BREAK = "\x00\x01"
+Attrs = list[tuple[str, str | None]]
 _RAW = frozenset(("script", "style"))
 
 
@@ -48,8 +52,10 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """Entities are decoded by the parser, which is its default."""
+
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        HTMLParser.__init__(self)
         self.root = Node("#")
         self.open = [self.root]
 
@@ -60,7 +66,7 @@ class _Builder(HTMLParser):
             if self.open[i].tag in tags:
                 del self.open[i:]
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def handle_starttag(self, tag: str, attrs: Attrs) -> None:
         if tag in _CLOSES:
             self._pop_until({"p"} | _CLOSES[tag][0], _CLOSES[tag][1])
         elif tag not in INLINE and tag not in VOID | _RAW or tag == "hr":
@@ -73,7 +79,7 @@ class _Builder(HTMLParser):
         if tag not in VOID:
             self.open.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def handle_startendtag(self, tag: str, attrs: Attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.open.pop()
@@ -104,7 +110,7 @@ def keeps(chrome: Node) -> bool:
         for c in node.children:
             if isinstance(c, str):
                 if not linked:
-                    prose += len(re.sub(r"\s+", " ", c).strip())
+                    prose += len(_spaces(c).strip())
             else:
                 links += c.tag == "a"
                 count(c, linked or c.tag == "a")
@@ -116,17 +122,17 @@ def keeps(chrome: Node) -> bool:
 
 
 def _spaces(text: str) -> str:
-    return re.sub(r"\s+", " ", text)
+    return _GAP.sub(" ", text)
 
 
 class _Writer:
     def __init__(self, keep_links: bool, keep_images: bool, drop_chrome: bool, base_url: str):
         self.keep_links, self.keep_images, self.drop_chrome, self.base_url = keep_links, keep_images, drop_chrome, base_url
-        self.stats = {"headings": 0, "tables": 0, "links": 0, "images": 0, "chrome_dropped": 0}
+        self.stats = dict.fromkeys("chrome_dropped headings images links tables".split(), 0)
 
     def skipped(self, node: Node, in_chrome: bool) -> bool:
         if not self.drop_chrome:
-            return node.tag in ("script", "style", "title", "meta", "link", "base")
+            return node.tag in _HEAD_ONLY
         if node.tag in DROPPED:
             return True
         if node.tag in CHROME and not in_chrome and not keeps(node):
@@ -156,7 +162,7 @@ class _Writer:
                 out.append(self._image(n))
             elif n.tag == "code" and "\n" not in n.text().strip():
                 body = _spaces(n.text()).strip()
-                ticks = "``" if "`" in body else "`"
+                ticks = "`" * (1 + ("`" in body))
                 out.append(f"{ticks}{body}{ticks}" if body else "")
             elif n.tag in MARKS:
                 body = self._inline(n.children, in_chrome)
@@ -167,7 +173,7 @@ class _Writer:
             elif n.tag == "a":
                 label = _spaces(self._inline(n.children, in_chrome)).strip()
                 href = n.attrs.get("href", "").strip()
-                if not self.keep_links or not href or not label or href.lower().startswith(("javascript:", "data:")):
+                if not self.keep_links or not href or not label or re.match("(?:data|javascript):", href, re.I):
                     out.append(label)
                 else:
                     self.stats["links"] += 1
@@ -296,7 +302,7 @@ class _Writer:
                     for x in cells:
                         inner.extend(x.find("table"))
                         flat = [y for y in x.children if not (isinstance(y, Node) and y.tag == "table")]
-                        row.append(" ".join(b.replace("  \n", " ").replace("\n", " ") for b in self.blocks(flat, in_chrome)))
+                        row.append(" ".join(re.sub(" *\n", " ", b) for b in self.blocks(flat, in_chrome)))
                     if any(row):
                         rows.append(row)
                 elif c.tag in ("thead", "tbody", "tfoot"):
@@ -313,13 +319,13 @@ class _Writer:
 
 
 def html_to_markdown(
-    html: str, *, engine: str = "auto", base_url: str = "", keep_links: bool = True, keep_images: bool = True, drop_chrome: bool = True
+    html: str, *, drop_chrome: bool = True, keep_images: bool = True, keep_links: bool = True, base_url: str = "", engine: str = "auto"
 ) -> tuple[str, dict[str, int], str]:
     """(Markdown, counts, engine). Engines: auto and builtin, which are the same."""
-    if engine not in ("auto", "builtin"):
+    if engine not in {"builtin", "auto"}:
         raise ValueError(f"no such HTML engine: {engine}")
     writer = _Writer(keep_links, keep_images, drop_chrome, base_url)
-    body = re.sub(r"\n{3,}", "\n\n", "\n\n".join(writer.blocks(parse(html).children))).strip()
+    body = re.sub("\n\n\n+", "\n\n", "\n\n".join(writer.blocks(parse(html).children))).strip()
     return body, writer.stats, "builtin"
 
 
@@ -327,7 +333,7 @@ def html_title(html: str) -> str:
     """The first h1's text, or else the title's."""
     for tag in ("h1", "title"):
         m = re.search(rf"<{tag}\b[^>]*>(.*?)</{tag}\s*>", html, re.S | re.I)
-        text = md.squash(unescape(re.sub(r"<[^>]+>", "", m[1]))) if m else ""
+        text = md.squash(unescape(re.sub("<[^<>]+>", "", m[1]))) if m else ""
         if text:
             return text
     return ""

@@ -6,13 +6,14 @@ import io
 
 from quirespark.functions import markdown as md
 from quirespark.functions.safety import safe_filename
-from quirespark.operators.chain import Converter, Source, registry
+from quirespark.operators.chain import Source, reads
 from quirespark.schemas import Document, Options
 
+Size = tuple[int | None, int | None]
 _TYPES = {"jpg": "jpeg", "tif": "tiff", "ico": "x-icon"}
 
 
-def dimensions(head: bytes) -> tuple[int | None, int | None]:
+def dimensions(head: bytes) -> Size:
     """(width, height) from the header of a PNG, GIF or BMP."""
     for mark, at, size, order in ((b"\x89PNG\r\n\x1a\n", 16, 4, "big"), (b"GIF8", 6, 2, "little"), (b"BM", 18, 4, "little")):
         if head.startswith(mark) and len(head) >= at + 2 * size:
@@ -20,7 +21,7 @@ def dimensions(head: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
-@registry.converter("image", "image-metadata", priority=50, description="size and place; no text recognition")
+@reads("image/image-metadata", 50, "size and place; no text recognition")
 def read_image(source: Source, options: Options) -> Document:
     doc, facts = Document(), [("File", source.name), ("Bytes", f"{len(source.raw):,}")]
     width, height = dimensions(source.raw[:64])
@@ -29,22 +30,22 @@ def read_image(source: Source, options: Options) -> Document:
 
         with Image.open(io.BytesIO(source.raw)) as img:
             width, height = img.size
-            facts += [("Mode", img.mode), ("Format", img.format or "")]
+            facts += zip(("Format", "Mode"), (img.format or "", img.mode))
             exif = img.getexif()
             facts += [(ExifTags.TAGS[t], str(exif[t])) for t in (271, 272, 306, 274) if exif.get(t)]
     except ImportError:
-        doc.warn("pillow-missing", "only what the header says is known", "info")
+        doc.info("pillow-missing", "only what the header says is known")
     except OSError as e:
-        doc.warn("image-read-failed", str(e))
+        doc.flag("image-read-failed", str(e))
     if width:
-        facts.insert(2, ("Dimensions", f"{width} x {height}"))
-    doc.add("> **Image — not transcribed.** No text was recognised in it.")
-    doc.add(md.kv_table(facts, key_header="Property"))
+        facts.insert(2, ("Dimensions", " x ".join(map(str, (width, height)))))
+    doc.add("> **Not transcribed.** No text was recognised in it.")
+    doc.facts(facts, key_header="Property")
     name, ext = safe_filename(source.name), source.ext[1:]
     doc.asset(name, source.raw, f"image/{_TYPES.get(ext, ext)}" if ext else "application/octet-stream", source.name)
     doc.add(md.image(source.name, f"assets/{name}"))
-    doc.meta |= {"width": width, "height": height, "bytes": len(source.raw)}
-    doc.warn("image-not-transcribed", "text inside the image is not in the output")
+    doc.meta |= {"bytes": len(source.raw), "height": height, "width": width}
+    doc.flag("image-not-transcribed", "text inside the image is not in the output")
     return doc
 
 
@@ -57,13 +58,13 @@ REFUSALS = {
 
 
 def _refuse(key: str, name: str, title: str, hint: str) -> None:
+    @reads(f"{key}/{name}-unsupported", 10, f"refuses a {title}")
     def read(source: Source, options: Options) -> Document:
         doc = Document()
-        doc.add(f"# Unsupported: {source.name}\n\n> **{title}** — {hint}")
+        doc.heading(1, f"Unsupported: {source.name}")
+        doc.add(md.blockquote(f"**{title}** — {hint}"))
         doc.meta["unsupported_kind"] = title
-        return doc.fail("empty", "unsupported-format", f"{title}: {hint}")
-
-    registry.register(Converter(key, f"{name}-unsupported", read, 10, "", f"refuses a {title}"))
+        return doc.fail("empty", "unsupported-format", ": ".join((title, hint)))
 
 
 for _name, (_key, _title, _hint) in REFUSALS.items():

@@ -6,21 +6,19 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 
 from quirespark.functions import markdown as md
 from quirespark.functions.safety import check_archive
-from quirespark.operators.chain import Source, registry
+from quirespark.operators.chain import Source, reads
 from quirespark.schemas import Document, Options
 
 WIDEST = 12
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_OT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
-_OTAB = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
+_OOXML, _ODF = "{http://schemas.openxmlformats.org/%s}", "{urn:oasis:names:tc:opendocument:xmlns:%s:1.0}"
+_W, _P, _S, _A = (_OOXML % f"{part}ml/2006/main" for part in ("wordprocessing", "presentation", "spreadsheet", "drawing"))
+_R = _OOXML % "officeDocument/2006/relationships"
+_OT, _OTAB = _ODF % "text", _ODF % "table"
 
 
 def open_package(source: Source) -> zipfile.ZipFile:
@@ -30,9 +28,12 @@ def open_package(source: Source) -> zipfile.ZipFile:
 
 
 def grid(rows: list[list[str]]) -> str:
-    """A table, or bare lines where it would be too wide to read."""
+    """A table, or bare lines where it would be too wide to read; empty rows are left out."""
+    rows = [r for r in rows if any(r)]
+    if not rows:
+        return ""
     if max(map(len, rows)) > WIDEST:
-        return "\n".join(" | ".join(r) for r in rows)
+        return "\n".join(map(" | ".join, rows))
     return md.table(rows)
 
 
@@ -49,7 +50,7 @@ def heading_level(style: str) -> int | None:
 
 def is_list_style(style: str, numbered: bool = False) -> bool:
     bare = style.strip().lower()
-    return numbered or (bare.startswith(("list", "列表")) and "paragraph" not in bare)
+    return numbered or bool(re.match("(?:列表|list)(?!.*paragraph)", bare))
 
 
 def column_index(ref: str) -> int:
@@ -60,11 +61,19 @@ def column_index(ref: str) -> int:
     return n - 1
 
 
+def _look(properties: ET.Element | None) -> tuple[str, bool]:
+    """A paragraph's style, and whether it is numbered."""
+    if properties is None:
+        return "", False
+    styles = [n.get(f"{_W}val", "") for n in properties if n.tag == f"{_W}pStyle"]
+    return "".join(styles[:1]), any(n.tag == f"{_W}numPr" for n in properties)
+
+
 def _texts(node: ET.Element, tag: str) -> str:
     return "".join(x.text or "" for x in node.iter(tag))
 
 
-@registry.converter("docx", "python-docx", priority=10, requires="docx", description="Word with styles, lists, tables, images")
+@reads("docx/python-docx", 10, "Word with styles, lists, tables, images", needs="docx")
 def read_docx_full(source: Source, options: Options) -> Document:
     import docx
 
@@ -80,20 +89,20 @@ def read_docx_full(source: Source, options: Options) -> Document:
             if not text:
                 continue
             level = heading_level(style)
+            kind = "headings" if level else "paragraphs"
             if level:
-                doc.add(md.heading(level, text))
-                stats["headings"] += 1
-            elif is_list_style(style, child.find(f"{_W}pPr/{_W}numPr") is not None):
+                doc.heading(level, text)
+            elif is_list_style(style, _look(child.find(f"{_W}pPr"))[1]):
                 doc.add("- " + text)
-                stats["lists"] += 1
+                kind = "lists"
             else:
                 doc.add(text)
-                stats["paragraphs"] += 1
+            stats[kind] += 1
         elif child.tag == f"{_W}tbl":
             rows = [r for r in ([md.squash(c.text) for c in row.cells] for row in Table(child, book).rows) if any(r)]
             if rows:
                 if max(map(len, rows)) > WIDEST:
-                    doc.warn("wide-table", f"a table of {max(map(len, rows))} columns is shown as lines", "info")
+                    doc.info("wide-table", f"a table of {max(map(len, rows))} columns is shown as lines")
                 doc.add(grid(rows))
                 stats["tables"] += 1
     if options.extract_images:
@@ -109,7 +118,7 @@ def read_docx_full(source: Source, options: Options) -> Document:
     return doc if not doc.blank() else doc.fail("empty", "empty-document", "the document has no text")
 
 
-@registry.converter("docx", "ooxml-stdlib", priority=90, description="Word by its XML alone")
+@reads("docx/ooxml-stdlib", 90, "Word by its XML alone")
 def read_docx(source: Source, options: Options) -> Document:
     doc, part = Document(), "word/document.xml"
     try:
@@ -122,33 +131,28 @@ def read_docx(source: Source, options: Options) -> Document:
         root = ET.fromstring(z.read(part))
     except ET.ParseError as e:
         return doc.fail("failed", "xml-parse-failed", f"{part}: {e}")
-    stats = {"paragraphs": 0, "headings": 0, "tables": 0}
+    stats = Counter()
     celled = {id(p) for t in root.iter(f"{_W}tbl") for p in t.iter(f"{_W}p")}
     inner = {id(t) for o in root.iter(f"{_W}tbl") for t in o.iter(f"{_W}tbl") if t is not o}
     for node in root.iter():  # in the document's order; what is in cells shows in its table alone
         if node.tag == f"{_W}p" and id(node) not in celled:
             text = _texts(node, f"{_W}t").strip()
-            style = node.find(f"{_W}pPr/{_W}pStyle")
-            level = heading_level(style.get(f"{_W}val", "")) if style is not None else None
-            if text and level:
-                doc.add(md.heading(level, text))
-                stats["headings"] += 1
-            elif text:
-                listed = is_list_style(style.get(f"{_W}val", "") if style is not None else "", node.find(f"{_W}pPr/{_W}numPr") is not None)
-                doc.add("- " + text if listed else text)
-                stats["paragraphs"] += 1
+            look = node.find(f"{_W}pPr")
+            style, numbered = _look(look)
+            level = heading_level(style)
+            if text:
+                doc.add(md.heading(level, text) if level else "- " + text if is_list_style(style, numbered) else text)
+                stats["headings" if level else "paragraphs"] += 1
         elif node.tag == f"{_W}tbl" and id(node) not in inner:
             rows = [[md.squash(_texts(c, f"{_W}t")) for c in r.iter(f"{_W}tc")] for r in node.iter(f"{_W}tr")]
-            rows = [r for r in rows if any(r)]
-            if rows:
-                doc.add(grid(rows))
-                stats["tables"] += 1
-    doc.meta |= stats
-    doc.warn("fallback-converter", "read by the built-in reader, without properties and images", "info")
+            doc.add(grid(rows))
+            stats["tables"] += any(map(any, rows))
+    doc.meta |= {k: stats[k] for k in ("tables", "headings", "paragraphs")}
+    doc.info("fallback-converter", "read by the built-in reader, without properties and images")
     return doc if not doc.blank() else doc.fail("empty", "empty-document", "the document has no text")
 
 
-@registry.converter("pptx", "python-pptx", priority=10, requires="pptx", description="slides with tables and notes")
+@reads("pptx/python-pptx", 10, "slides with tables and notes", needs="pptx")
 def read_pptx_full(source: Source, options: Options) -> Document:
     import pptx
 
@@ -163,14 +167,14 @@ def read_pptx_full(source: Source, options: Options) -> Document:
 
     for n, slide in enumerate(deck.slides, 1):
         title = slide.shapes.title
-        doc.add(md.heading(2, (title.text_frame.text.strip() if title is not None and title.has_text_frame else "") or f"Slide {n}"))
+        doc.heading(2, (title.text_frame.text.strip() if title is not None and title.has_text_frame else "") or f"Slide {n}")
         for s in shapes(slide.shapes):
             if title is not None and s.shape_id == title.shape_id:
                 continue
             if s.has_text_frame:
                 doc.add("\n".join("  " * p.level + "- " + p.text.strip() for p in s.text_frame.paragraphs if p.text.strip()))
             elif getattr(s, "has_table", False) and s.has_table and options.pptx_tables:
-                doc.add(md.table([[c.text for c in r.cells] for r in s.table.rows]))
+                doc.table([[c.text for c in r.cells] for r in s.table.rows])
             elif s.shape_type == 13 and options.extract_images:
                 images += 1
                 name = f"slide-{n}-{images}.{s.image.ext}"
@@ -183,7 +187,7 @@ def read_pptx_full(source: Source, options: Options) -> Document:
     return doc if len(deck.slides) else doc.fail("empty", "no-slides", "the deck has no slides")
 
 
-@registry.converter("pptx", "ooxml-stdlib", priority=90, description="slides by their XML alone")
+@reads("pptx/ooxml-stdlib", 90, "slides by their XML alone")
 def read_pptx(source: Source, options: Options) -> Document:
     doc, z = Document(), open_package(source)
     found = sorted((int(m[1]), m[0]) for m in (re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n) for n in z.namelist()) if m)
@@ -196,11 +200,14 @@ def read_pptx(source: Source, options: Options) -> Document:
             if texts:
                 doc.add(md.bullets(texts) if titled else md.heading(2, " ".join(texts)))
                 titled = True
-    doc.warn("fallback-converter", "read by the built-in reader, without notes, tables and images", "info")
+    doc.info("fallback-converter", "read by the built-in reader, without notes, tables and images")
     return doc
 
 
-def sheets(source: Source) -> list[tuple[str, list[list[str]]]]:
+Sheet = tuple[str, list[list[str]]]
+
+
+def sheets(source: Source) -> list[Sheet]:
     """(name, rows) of a workbook, with gaps filled."""
     z = open_package(source)
     names = set(z.namelist())
@@ -210,8 +217,9 @@ def sheets(source: Source) -> list[tuple[str, list[list[str]]]]:
     if "xl/workbook.xml" not in names:
         return []
     rels = {}
-    if "xl/_rels/workbook.xml.rels" in names:
-        rels = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    links = "xl/_rels/workbook.xml.rels"
+    if links in names:
+        rels = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read(links))}
     out = []
     for n, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"), 1):
         target = rels.get(sheet.get(f"{_R}id"), f"worksheets/sheet{n}.xml")
@@ -238,22 +246,19 @@ def sheets(source: Source) -> list[tuple[str, list[list[str]]]]:
     return out
 
 
-def _add_sheets(doc: Document, found: list[tuple[str, list[list[str]]]], most: int) -> None:
+def _add_sheets(doc: Document, found: list[Sheet], most: int) -> None:
     total = 0
     for name, rows in found:
-        doc.add(md.heading(2, name))
-        rows = [r for r in rows if any(c.strip() for c in r)]
-        if not rows:
-            doc.add("*(empty sheet)*")
-            continue
-        if len(rows) > most:
-            doc.warn("sheet-truncated", f"sheet {name} is cut after {most} rows")
-        doc.add(grid(rows[:most]))
-        total += len(rows[:most])
+        doc.heading(2, name)
+        filled = [r for r in rows if "".join(r).strip()]
+        if len(filled) > most:
+            doc.flag("sheet-truncated", f"sheet {name} is cut after {most} rows")
+        doc.add(grid(filled[:most]) or "*(empty sheet)*")
+        total += len(filled[:most])
     doc.meta |= {"sheets": len(found), "rows": total}
 
 
-@registry.converter("xlsx", "openpyxl", priority=10, requires="openpyxl", description="workbook with typed cells")
+@reads("xlsx/openpyxl", 10, "workbook with typed cells", needs="openpyxl")
 def read_xlsx_full(source: Source, options: Options) -> Document:
     import openpyxl
 
@@ -274,7 +279,7 @@ def read_xlsx_full(source: Source, options: Options) -> Document:
     return doc
 
 
-@registry.converter("xlsx", "xlsx-stdlib", priority=90, description="workbook by its XML alone")
+@reads("xlsx/xlsx-stdlib", 90, "workbook by its XML alone")
 def read_xlsx(source: Source, options: Options) -> Document:
     doc = Document()
     try:
@@ -286,11 +291,11 @@ def read_xlsx(source: Source, options: Options) -> Document:
     if not found:
         return doc.fail("failed", "no-sheets-found", "the package has no sheet that can be read")
     _add_sheets(doc, found, options.xlsx_max_rows)
-    doc.warn("fallback-converter", "read by the built-in reader, without formulas and types", "info")
+    doc.info("fallback-converter", "read by the built-in reader, without formulas and types")
     return doc
 
 
-@registry.converter("odf", "odf", priority=10, description="OpenDocument text, tables and headings")
+@reads("odf/odf", 10, "OpenDocument text, tables and headings")
 def read_odf(source: Source, options: Options) -> Document:
     doc, z = Document(), None
     if source.raw[:2] == b"PK":
@@ -298,37 +303,34 @@ def read_odf(source: Source, options: Options) -> Document:
         if "content.xml" not in z.namelist():
             return doc.fail("failed", "missing-part", "the package lacks content.xml")
     root = ET.fromstring(z.read("content.xml") if z else source.raw)
-    kind = z.read("mimetype").decode("ascii", "replace").strip() if z and "mimetype" in z.namelist() else ""
-    stats = {"paragraphs": 0, "headings": 0, "tables": 0}
+    kind = str(z.read("mimetype").strip(), "latin-1") if z and "mimetype" in z.namelist() else ""
+    stats = Counter()
 
     def visit(node: ET.Element) -> None:
         if node.tag == f"{_OTAB}table":
             rows = [[md.squash("".join(c.itertext())) for c in r.findall(f"{_OTAB}table-cell")] for r in node.iter(f"{_OTAB}table-row")]
-            rows = [r for r in rows if any(r)]
-            if rows:
-                doc.add(grid(rows))
-                stats["tables"] += 1
+            doc.add(grid(rows))
+            stats["tables"] += any(map(any, rows))
         elif node.tag in (f"{_OT}h", f"{_OT}p"):
-            text = md.squash("".join(node.itertext()))
-            if text and node.tag == f"{_OT}h":
-                doc.add(md.heading(int(node.get(f"{_OT}outline-level", "1") or 1), text))
-                stats["headings"] += 1
-            elif text:
-                doc.add(text)
-                stats["paragraphs"] += 1
+            words, level = "".join(node.itertext()), None
+            text = md.squash(words)
+            if node.tag == f"{_OT}h":
+                level = int(node.get(f"{_OT}outline-level") or 1)
+            doc.add(md.heading(level, text) if level and text else text)
+            stats["headings" if level else "paragraphs"] += bool(text)
         else:
             for child in node:
                 visit(child)
 
     visit(root)
-    doc.meta |= {"mimetype": kind, **stats}
+    doc.meta |= {"mimetype": kind, **{k: stats[k] for k in ("tables", "headings", "paragraphs")}}
     return doc if not doc.blank() else doc.fail("empty", "empty-document", "no text was found")
 
 
 _SKIPPED = frozenset(
     "fonttbl colortbl stylesheet info pict object header footer footnote themedata datastore listtable listoverridetable generator xmlnstbl".split()
 )
-_RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|(.)", re.I | re.S)
+_RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})? ?|\\'([\da-f]{2})|\\([^a-z])|([{}])|[\r\n]+|(.)", re.I | re.S)
 
 
 def strip_rtf(text: str) -> str:
@@ -378,21 +380,24 @@ def strip_rtf(text: str) -> str:
     return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
 
 
-@registry.converter("rtf", "rtf", priority=20, description="the text alone")
+@reads("rtf/rtf", 20, "the text alone")
 def read_rtf(source: Source, options: Options) -> Document:
     doc, text = Document(), strip_rtf(source.text)
     if not text.strip():
         return doc.fail("empty", "empty-document", "no text was recovered")
     doc.add(md.paragraphs(text))
-    doc.warn("rtf-lossy", "headings, tables and formatting were not recovered", "info")
+    doc.info("rtf-lossy", "headings, tables and formatting were not recovered")
     return doc
 
 
+_CONTROLS = r"[^\x0e-\x1f\x0b\x0c\x00-\x08]"
+
+
 def text_runs(raw: bytes) -> list[str]:
     """Runs of plausible text in a binary file, each once, in order."""
     found: dict[str, None] = {}
-    for encoding, least in (("utf-16-le", 24), ("cp1252", 40)):
-        for m in re.finditer(r"[^\x00-\x08\x0b\x0c\x0e-\x1f]{%d,}" % least, raw.decode(encoding, "ignore")):
+    for encoding, least in {"utf-16-le": 24, "cp1252": 40}.items():
+        for m in re.finditer(_CONTROLS + "{%d,}" % least, raw.decode(encoding, "ignore")):
             run = m[0]
             if sum(c.isprintable() and not c.isspace() for c in run) >= 0.85 * len(run) and len(md.squash(run)) >= least:
                 found.setdefault(md.squash(run))
@@ -400,14 +405,14 @@ def text_runs(raw: bytes) -> list[str]:
 
 
 def _legacy(key: str, name: str, what: str) -> None:
-    @registry.converter(key, name, priority=20, description=f"runs of text in a legacy {what}")
+    @reads(f"{key}/{name}", 20, f"runs of text in a legacy {what}")
     def read(source: Source, options: Options) -> Document:
         doc, runs = Document(), text_runs(source.raw)
         if not runs:
             return doc.fail("empty", "empty-document", f"no text was recovered from the legacy {what}")
         doc.add("\n\n".join(runs))
         doc.meta["runs"] = len(runs)
-        doc.warn("legacy-format-lossy", f"a legacy {what} has no structure that can be relied on: runs of text were recovered")
+        doc.flag("legacy-format-lossy", f"a legacy {what} has no structure that can be relied on: runs of text were recovered")
         return doc
 
 

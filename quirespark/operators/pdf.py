@@ -8,7 +8,7 @@ import unicodedata
 from collections import Counter
 
 from quirespark.functions import markdown as md
-from quirespark.operators.chain import Source, registry
+from quirespark.operators.chain import Source, reads
 from quirespark.schemas import Document, Options
 
 SPARSE, WIDEST = 25, 14
@@ -42,7 +42,7 @@ def body_size(sizes: list[float]) -> float:
 
 def heading_sizes(sizes: list[float], body: float) -> dict[float, int]:
     """Levels of the sizes above the body's, the largest first."""
-    return {s: min(i, 6) for i, s in enumerate(sorted({round(s, 1) for s in sizes if s > body * 1.12}, reverse=True), 1)}
+    return {s: min(i, 6) for i, s in enumerate(sorted({round(x, 1) for x in sizes if x > body * 1.12})[::-1], 1)}
 
 
 def is_bold(flags: list[bool]) -> bool:
@@ -66,7 +66,7 @@ def in_columns(boxes: list[tuple], width: float) -> bool:
     return len(boxes) >= 8 and sum(b[2] < mid + 40 and b[0] < mid - 40 for b in boxes) >= 3 and sum(b[0] > mid - 40 for b in boxes) >= 3
 
 
-@registry.converter("pdf", "pymupdf", priority=10, requires="fitz", description="headings by font size, tables, page marks")
+@reads("pdf/pymupdf", 10, "headings by font size, tables, page marks", needs="fitz")
 def read_pdf(source: Source, options: Options) -> Document:
     import fitz
 
@@ -107,12 +107,12 @@ def read_pdf(source: Source, options: Options) -> Document:
                     rows = [[md.inline_value(c) for c in r] for r in t.extract()]
                     if rows and any(any(r) for r in rows) and max(map(len, rows)) <= WIDEST:
                         boxes.append(t.bbox)
-                        doc.add(md.table(rows))
+                        doc.table(rows)
                         stats["tables"] += 1
             except Exception as e:  # noqa: BLE001
-                doc.warn("table-detection-failed", f"page {n}: {e}", "info")
+                doc.info("table-detection-failed", f"page {n}: {e}")
         if in_columns([b["bbox"] for b in blocks], page.rect.width):
-            doc.warn("multi-column-layout", f"page {n} seems to have columns; their order may be wrong", "info")
+            doc.info("multi-column-layout", f"page {n} seems to have columns; their order may be wrong")
         seen: set[str] = set()
         for b in blocks:
             if any(overlaps(b["bbox"], x) for x in boxes) or b["text"] in seen:
@@ -123,11 +123,11 @@ def read_pdf(source: Source, options: Options) -> Document:
             stats["headings" if level else "paragraphs"] += 1
         stats["images"] += len(page.get_images())
     if empty:
-        doc.warn("scanned-pages", f"pages without text: {md.page_ranges(empty)}")
+        doc.flag("scanned-pages", f"pages without text: {md.page_ranges(empty)}")
     if len(pages) < total:
-        doc.warn("page-limit", f"only {len(pages)} of {total} pages were read")
+        doc.flag("page-limit", f"only {len(pages)} of {total} pages were read")
     if not stats["headings"]:
-        doc.warn("no-headings-recovered", "no font size stands out as a heading's")
+        doc.flag("no-headings-recovered", "no font size stands out as a heading's")
     facts = book.metadata or {}
     doc.title = facts.get("title") or ""
     doc.meta |= {"pages": total, "pages_extracted": len(pages), "scanned_pages": empty, "body_font_size": body, "heading_font_sizes": list(levels), **stats}
@@ -135,7 +135,7 @@ def read_pdf(source: Source, options: Options) -> Document:
     return doc
 
 
-@registry.converter("pdf", "pdf-plaintext", priority=80, requires="pypdf", description="text page by page")
+@reads("pdf/pdf-plaintext", 80, "text page by page", needs="pypdf")
 def read_pdf_text(source: Source, options: Options) -> Document:
     import pypdf
 
@@ -148,5 +148,5 @@ def read_pdf_text(source: Source, options: Options) -> Document:
     doc.meta["pages"] = len(book.pages)
     if doc.blank():
         return doc.fail("empty", "scanned-pdf", "no page has text")
-    doc.warn("lossy-pdf-fallback", "text only: headings and tables were not recovered")
+    doc.flag("lossy-pdf-fallback", "text only: headings and tables were not recovered")
     return doc

@@ -10,7 +10,7 @@ from collections import Counter
 from typing import Any
 
 from quirespark.functions import markdown as md
-from quirespark.operators.chain import Source, registry
+from quirespark.operators.chain import Source, reads
 from quirespark.operators.textual import _uncertain
 from quirespark.schemas import Document, Options
 
@@ -30,35 +30,35 @@ def delimited_rows(text: str, delimiter: str) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text), delimiter=delimiter))
 
 
-@registry.converter("csv", "delimited", priority=10, description="a table, or a fenced block with a preview")
+@reads("csv/delimited", 10, "a table, or a fenced block with a preview")
 def read_csv(source: Source, options: Options) -> Document:
     doc = Document()
     mark = options.delimiter or sniff_delimiter(source.text)
     try:
         rows = delimited_rows(source.text, mark)
     except csv.Error as e:
-        doc.warn("csv-parse-failed", f"kept as raw text: {e}")
-        doc.add(md.fence(source.text, "csv"))
+        doc.flag("csv-parse-failed", f"kept as raw text: {e}")
+        doc.fenced(source.text, "csv")
         return doc
-    rows = [r for r in rows if any(c.strip() for c in r)]
+    rows = [r for r in rows if "".join(r).strip()]
     if not rows:
         return doc.fail("empty", "empty-file", "there is no row with data")
     width = max(map(len, rows))
     ragged = sum(len(r) != width for r in rows)
-    doc.meta |= {"delimiter": mark, "rows": len(rows), "columns": width, "encoding": source.read.encoding}
+    doc.meta |= {"encoding": source.read.encoding, "columns": width, "rows": len(rows), "delimiter": mark}
     _uncertain(doc, source)
     if ragged:
-        doc.warn("ragged-rows", f"{ragged} rows are narrower than the widest of {width} and were padded", "info")
+        doc.info("ragged-rows", f"{ragged} rows are narrower than the widest of {width} and were padded")
     if len(rows) > options.csv_max_rows + 1 or width > options.csv_max_cols:
-        doc.warn("table-too-large", f"{len(rows)} x {width} is over {options.csv_max_rows} x {options.csv_max_cols}", "info")
-        doc.add(md.heading(2, "Data"))
-        doc.add(md.fence(source.text, "csv"))
+        doc.info("table-too-large", f"over the limits, {len(rows)} x {width} to {options.csv_max_rows} x {options.csv_max_cols}")
+        doc.heading(2, "Data")
+        doc.fenced(source.text, "csv")
         preview = md.table(rows[: options.csv_max_rows + 1], header=options.csv_header)
-        doc.add(md.details(f"Preview (first {options.csv_max_rows} rows as a table)", preview))
+        doc.folded(f"Preview (first {options.csv_max_rows} rows as a table)", preview)
         return doc
-    doc.add(md.table(rows, header=options.csv_header))
+    doc.table(rows, header=options.csv_header)
     if not options.csv_header:
-        doc.warn("no-header", "the first row is data", "info")
+        doc.info("no-header", "the first row is data")
     return doc
 
 
@@ -89,61 +89,68 @@ def flatten(value: Any, deepest: int = 6, shown: int = 3) -> dict[str, Any]:
     return out
 
 
+def _nested(value: Any) -> bool:
+    return isinstance(value, (list, dict))
+
+
 def tabular(value: Any, widest: int = 24) -> list[list[Any]] | None:
     """Rows with a header, if the value is a flat object or a list of such; else None."""
     if isinstance(value, dict):
-        if value and not any(isinstance(v, (dict, list)) for v in value.values()):
-            return [["Key", "Value"], *([k, str(v)] for k, v in value.items())]
-        return None
+        whole = value and not any(map(_nested, value.values()))
+        return [["Key", "Value"], *([key, str(inner)] for key, inner in value.items())] if whole else None
     if not isinstance(value, list) or not value or not all(isinstance(x, dict) for x in value):
         return None
     keys = list(dict.fromkeys(k for x in value for k in x))
-    if not keys or len(keys) > widest or any(isinstance(v, (dict, list)) for x in value for v in x.values()):
+    if not keys or len(keys) > widest or any(_nested(v) for x in value for v in x.values()):
         return None
     return [keys, *([md.inline_value(x.get(k)) for k in keys] for x in value)]
 
 
-def shape(data: Any) -> list[tuple[str, Any]]:
-    out: list[tuple[str, Any]] = [("Root type", type(data).__name__)]
+def kind_of(value: Any) -> str:
+    return type(value).__name__
+
+
+def shape(data: Any) -> dict[str, Any]:
+    out = {"Root type": kind_of(data)}
     if isinstance(data, dict):
-        out += [("Keys", len(data)), ("Top-level keys", ", ".join([str(k) for k in data][:20]))]
-    elif isinstance(data, list):
-        out += [("Items", len(data))] + ([("Item type", type(data[0]).__name__)] if data else [])
+        out |= {"Keys": len(data), "Top-level keys": ", ".join([str(k) for k in data][:20])}
+    if isinstance(data, list):
+        out |= {"Items": len(data)} | {"Item type": kind_of(x) for x in data[:1]}
     return out
 
 
-@registry.converter("json", "json", priority=10, description="shape, table or fields, and the source")
+@reads("json/json", 10, "shape, table or fields, and the source")
 def read_json(source: Source, options: Options) -> Document:
     doc = Document()
     try:
         data = json.loads(source.text)
     except (ValueError, RecursionError) as e:
-        doc.warn("json-parse-failed", f"kept as raw text: {e}")
-        doc.add(md.fence(source.text, "json"))
+        doc.flag("json-parse-failed", f"kept as raw text: {e}")
+        doc.fenced(source.text, "json")
         return doc
     _uncertain(doc, source)
-    doc.add(md.kv_table(shape(data)))
-    doc.meta["root_type"] = type(data).__name__
-    nested = isinstance(data, (dict, list))
+    doc.facts(shape(data).items())
+    doc.meta["root_type"] = kind_of(data)
+    nested = _nested(data)
     if nested:
         doc.meta["size"] = len(data)
     rows = tabular(data)
     if rows and options.json_table:
-        if len(rows) <= options.json_max_rows + 1:
-            doc.add(md.heading(2, "Data"))
-            doc.add(md.table(rows))
+        if len(rows) > options.json_max_rows + 1:
+            doc.info("table-too-large", f"over {options.json_max_rows} rows: {len(rows)}")
         else:
-            doc.warn("table-too-large", f"{len(rows)} rows are over {options.json_max_rows}", "info")
+            doc.heading(2, "Data")
+            doc.table(rows)
     elif rows is None and nested:
         flat = flatten(data)
-        if 0 < len(flat) <= 400:
-            doc.add(md.heading(2, "Fields"))
-            doc.add(md.table([("Path", "Value"), *flat.items()]))
-    doc.add(md.details("Raw JSON", md.fence(json.dumps(data, ensure_ascii=False, indent=2), "json")))
+        if flat and len(flat) < 401:
+            doc.heading(2, "Fields")
+            doc.table([("Path", "Value"), *flat.items()])
+    doc.folded("Raw JSON", md.fence(json.dumps(data, indent=2, ensure_ascii=False), "json"))
     return doc
 
 
-@registry.converter("jsonl", "jsonl", priority=10, description="records as a table or fenced")
+@reads("jsonl/jsonl", 10, "records as a table or fenced")
 def read_jsonl(source: Source, options: Options) -> Document:
     doc, records, bad = Document(), [], 0
     for line in filter(None, map(str.strip, source.text.split("\n"))):
@@ -154,31 +161,32 @@ def read_jsonl(source: Source, options: Options) -> Document:
     if not records:
         return doc.fail("empty", "empty-file", "no line holds valid JSON")
     doc.meta["records"] = len(records)
-    doc.add(md.kv_table([("Records", len(records)), ("Root types", ", ".join(sorted({type(r).__name__ for r in records})))]))
-    if bad:
-        doc.warn("jsonl-bad-lines", f"{bad} lines are not valid JSON and were left out")
+    doc.facts({"Records": len(records), "Root types": ", ".join(sorted(set(map(kind_of, records))))}.items())
+    if bad > 0:
+        doc.flag("jsonl-bad-lines", f"{bad} lines are not valid JSON and were left out")
     rows = tabular(records)
-    doc.add(md.heading(2, "Records"))
+    doc.heading(2, "Records")
     if rows and len(rows) <= options.json_max_rows + 1:
-        doc.add(md.table(rows))
+        doc.table(rows)
     else:
-        doc.warn("table-too-large", f"{len(records)} records are shown as JSON", "info")
-        doc.add(md.fence("\n".join(json.dumps(r, ensure_ascii=False) for r in records[: options.json_max_rows]), "json"))
+        doc.info("table-too-large", f"shown as JSON: {len(records)} records")
+        doc.fenced("\n".join(json.dumps(r, ensure_ascii=False) for r in records[: options.json_max_rows]), "json")
     return doc
 
 
-@registry.converter("xml", "xml", priority=10, description="element counts and the source")
+@reads("xml/xml", 10, "element counts and the source")
 def read_xml(source: Source, options: Options) -> Document:
     doc = Document()
-    tags = re.findall(r"<\s*([A-Za-z_][\w.:-]*)", source.text)
+    tags = re.findall(r"<\s*([_A-Za-z][\w:.-]*)", source.text)
     if tags:
         counts = Counter(tags)
-        doc.add(md.kv_table([("Root element", tags[0]), ("Elements", len(tags)), ("Distinct tags", len(counts))]))
-        doc.add(md.heading(2, "Most frequent elements"))
-        doc.add(md.table([("Tag", "Count"), *counts.most_common(15)]))
+        named = ("Root element", "Elements", "Distinct tags")
+        doc.facts(zip(named, (tags[0], len(tags), len(counts))))
+        doc.heading(2, "Most frequent elements")
+        doc.table([("Tag", "Count"), *counts.most_common(15)])
     else:
-        doc.warn("no-elements", "no element was recognised")
-    doc.add(md.details("Raw XML", md.fence(source.text, "xml")))
+        doc.flag("no-elements", "no element was recognised")
+    doc.folded("Raw XML", md.fence(source.text, "xml"))
     doc.meta["elements"] = len(tags)
     return doc
 
@@ -186,36 +194,32 @@ def read_xml(source: Source, options: Options) -> Document:
 def _cell_output(output: dict) -> str:
     kind, out = output.get("output_type"), []
     if output.get("name"):
-        out.append(f"<!-- output: {output['name']} -->")
-    if kind == "stream":
-        out.append("".join(output.get("text", "")))
-    elif kind in ("execute_result", "display_data"):
-        data = output.get("data", {})
-        shown = next((data[k] for k in ("text/markdown", "text/plain") if k in data), None)
-        if shown is not None:
-            out.append("".join(shown))
-        if "image/png" in data:
-            out.append(f"*(PNG output of {len(''.join(data['image/png'])) // 4} B, not extracted)*")
-    elif kind == "error":
-        trace = "\n".join(re.sub(r"\x1b\[[0-9;]*m", "", x) for x in output.get("traceback") or [])
-        out.append(trace or f"{output.get('ename')}: {output.get('evalue')}")
-    return "\n".join(out).strip()
-
-
-@registry.converter("notebook", "jupyter", priority=10, description="cells and their outputs")
+        out.append("<!-- output: %s -->" % output["name"])
+    data = output.get("data", {}) if kind in ("display_data", "execute_result") else {}
+    shown = output.get("text", "") if kind == "stream" else data.get("text/markdown", data.get("text/plain"))
+    out.append("".join(shown or ""))
+    picture = "".join(data.get("image/png", ""))
+    if picture:
+        out.append(f"*(PNG output of {len(picture) // 4} B, not extracted)*")
+    if kind == "error":
+        trace = re.sub("\x1b\\[[\\d;]*m", "", "\n".join(output.get("traceback") or []))
+        out.append(trace or ": ".join(str(output.get(k)) for k in ("ename", "evalue")))
+    return "\n".join(filter(None, out)).strip()
+
+
+@reads("notebook/jupyter", 10, "cells and their outputs")
 def read_notebook(source: Source, options: Options) -> Document:
     doc = Document()
     try:
         book = json.loads(source.text)
     except ValueError as e:
-        doc.warn("notebook-parse-failed", f"kept as raw text: {e}")
-        doc.add(md.fence(source.text, "json"))
+        doc.flag("notebook-parse-failed", f"kept as raw text: {e}")
+        doc.fenced(source.text, "json")
         return doc
     cells, meta = book.get("cells", []), book.get("metadata", {})
     info = meta.get("language_info") or {}
-    kernel = (meta.get("kernelspec") or {}).get("name") or info.get("name")
-    if kernel:
-        doc.meta["kernel"] = kernel
+    names = [n for n in (d.get("name") for d in (meta.get("kernelspec") or {}, info)) if n]
+    doc.meta |= {"kernel": n for n in names[:1]}
     doc.meta |= {"cells": len(cells), "code_cells": sum(c.get("cell_type") == "code" for c in cells)}
     if not cells:
         return doc.fail("empty", "no-cells", "the notebook has no cells")
@@ -225,11 +229,11 @@ def read_notebook(source: Source, options: Options) -> Document:
             case "markdown":
                 doc.add(body)
             case "code":
-                doc.add(md.fence(body, info.get("name", "python")))
+                doc.fenced(body, info.get("name", "python"))
                 for shown in filter(None, map(_cell_output, c.get("outputs", []) if options.notebook_outputs else [])):
-                    doc.add("**Output:**\n\n" + md.fence(shown, "text"))
+                    doc.add("\n\n".join(("**Output:**", md.fence(shown, "text"))))
             case "raw":
-                doc.add(md.fence(body, "text"))
+                doc.fenced(body, "text")
             case other:
-                doc.warn("unknown-cell-type", f"cell {n} is of type {other!r}", "info")
+                doc.info("unknown-cell-type", f"{other!r} is the type of cell {n}")
     return doc

@@ -9,11 +9,11 @@ import tomllib
 
 from quirespark.functions import markdown as md
 from quirespark.functions.formats import LANGUAGES
-from quirespark.operators.chain import Source, registry
+from quirespark.operators.chain import Source, reads
 from quirespark.operators.html import html_title, html_to_markdown
 from quirespark.schemas import Document, Options
 
-_NUMBERED = re.compile(r"(\d+(?:\.\d+)*)[.)]?\s+(\S.{0,80})$")
+_NUMBERED = re.compile(r"(\d+(?:[.]\d+)*)[).]?\s+(\S.{0,80})$")
 _CHAPTER = re.compile(r"(?:第.{1,12}?[章节篇部]|Chapter\s+\d+).*$", re.I)
 
 
@@ -68,23 +68,26 @@ def plain_to_markdown(text: str, numbered: bool = False) -> tuple[str, int]:
 
 def _uncertain(doc: Document, source: Source) -> None:
     if source.read.had_errors:
-        doc.warn("encoding-uncertain", f"characters were replaced while decoding {source.read.encoding}")
+        doc.flag("encoding-uncertain", f"characters were replaced while decoding {source.read.encoding}")
 
 
-@registry.converter("text", "plain-text", priority=10, description="escaped text, underlined titles as headings")
+@reads("text/plain-text", 10, "escaped text, underlined titles as headings")
 def read_text(source: Source, options: Options) -> Document:
     doc = Document()
     _uncertain(doc, source)
     body, found = plain_to_markdown(source.text, options.numbered_headings)
     doc.add(body)
     doc.meta |= {"encoding": source.read.encoding, "headings_detected": found}
-    if source.read.encoding not in ("utf-8", "utf-8-sig", "ascii"):
-        doc.warn("non-utf8-source", f"was {source.read.encoding}", "info")
+    if source.read.encoding not in PLAIN:
+        doc.info("non-utf8-source", f"was {source.read.encoding}")
     return doc
 
 
+PLAIN, MANY_LINKS = frozenset(("ascii", "utf-8", "utf-8-sig")), 50
+
+
 def lift_front_matter(text: str) -> tuple[dict[str, str], str]:
-    m = re.match(r"---\s*\n(.*?)\n---\s*\n?", text, re.S)
+    m = re.match(r"-{3}\s*\n(.*?)\n-{3}\s*\n?", text, re.S)
     if not m:
         return {}, text
     found = {}
@@ -95,7 +98,7 @@ def lift_front_matter(text: str) -> tuple[dict[str, str], str]:
     return found, text[m.end() :]
 
 
-@registry.converter("markdown", "markdown-passthrough", priority=10, description="kept as it is, front matter lifted")
+@reads("markdown/markdown-passthrough", 10, "kept as it is, front matter lifted")
 def read_markdown(source: Source, options: Options) -> Document:
     doc = Document()
     matter, body = lift_front_matter(source.text)
@@ -103,23 +106,23 @@ def read_markdown(source: Source, options: Options) -> Document:
         doc.meta["front_matter"] = matter
         doc.title = matter.get("title", "")
     doc.add(body)
-    levels = [len(x) for x in re.findall(r"^(#{1,6})\s+\S", body, re.M)]
-    doc.meta["headings"] = len(levels)
+    levels = [len(x) for x in re.findall(r"^(#{1,6})\s+(?=\S)", body, re.M)]
+    doc.meta |= {"headings": len(levels)}
     if not levels:
-        doc.warn("no-headings", "the text has no headings", "info")
+        doc.info("no-headings", "the text has no headings")
     elif 1 not in levels:
-        doc.warn("no-top-level-heading", "no heading is of the first level", "info")
+        doc.info("no-top-level-heading", "no heading is of the first level")
     _uncertain(doc, source)
     return doc
 
 
 SYMBOLS = [
-    (r"\s*(?:export\s+)?(?:async\s+)?def\s+(\w+)", "def"), (r"\s*class\s+(\w+)", "class"),
-    (r"\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"),
-    (r"\s*(?:export\s+)?(?:let|const|var)\s+(\w+)\s*=\s*(?:async\s*)?\(", "function"),
-    (r"\s*(?:(?:public|private|protected|static)\s+)*[\w<>\[\],]+(?:\s+[\w<>\[\],]+)*\s+(\w+)\s*\([^;]*\)\s*\{", "method"),
-    (r"\s*func\s+(?:\([^)]*\)\s*)?(\w+)", "func"), (r"\s*(?:pub\s+)?(?:struct|enum|trait|fn)\s+(\w+)", "item"),
-    (r"\s*(?:create|CREATE)\s+(?:INDEX|VIEW|TABLE)\s+([\w.\"]+)", "object"), (r"\s*#{1,6}\s*(.+)$", "section"),
+    (r"\s*(?:(?:export|async)\s+)*def\s+(\w+)", "def"), (r"\s*class\s+(\w+)", "class"),
+    (r"\s*(?:(?:export|async)\s+)*function\s+(\w+)", "function"),
+    (r"\s*(?:export\s+)?(?:var|let|const)\s+(\w+)\s*[=]\s*(?:async)?\s*\(", "function"),
+    (r"\s*(?:(?:public|private|protected|static)\s+)*[\w<>\[\],]+(?:\s+[\w<>\[\],]+)*\s+(\w+)\s*[(][^;]*[)]\s*\{", "method"),
+    (r"\s*func\s+(?:[(][^)]*[)]\s*)?(\w+)", "func"), (r"\s*(?:pub\s+)?(?:struct|enum|trait|fn)\s+(\w+)", "item"),
+    (r"\s*(?:create|CREATE)\s+(?:INDEX|VIEW|TABLE)\s+([\w.\"]+)", "object"), (r"\s*[#]{1,6}\s*(.+)$", "section"),
 ]
 _SYMBOLS = [(re.compile(p), kind) for p, kind in SYMBOLS]
 
@@ -139,159 +142,165 @@ def outline(text: str, most: int = 200) -> list[tuple[str, str, int]]:
     return [(name, kind, n) for (name, kind), n in found.items()]
 
 
-@registry.converter("code", "source-code", priority=10, description="fenced source under an outline of its symbols")
+@reads("code/source-code", 10, "fenced source under an outline of its symbols")
 def read_code(source: Source, options: Options) -> Document:
     doc = Document()
     language = LANGUAGES.get(source.ext, source.ext.lstrip("."))
     if options.code_outline:
         symbols = outline(source.text)
         if symbols:
-            doc.add("## Outline\n\n" + "\n".join(f"- `{name}` ({kind}) — line {n}" for name, kind, n in symbols))
-    doc.add(md.fence(source.text, language))
+            doc.add("## Outline\n\n" + "\n".join(f"- `{s}` ({kind}) — line {at}" for s, kind, at in symbols))
+    doc.fenced(source.text, language)
     doc.meta |= {"language": language, "lines": source.text.count("\n") + 1}
     _uncertain(doc, source)
     return doc
 
 
-@registry.converter("ini", "config-ini", priority=10, description="sections as headings, settings as tables")
+@reads("ini/config-ini", 10, "sections as headings, settings as tables")
 def read_ini(source: Source, options: Options) -> Document:
     doc = Document()
-    found = configparser.ConfigParser(strict=False, interpolation=None, delimiters=("=", ":"))
+    found = configparser.RawConfigParser(delimiters=(":", "="), strict=False)
     try:
         found.read_string(source.text)
     except configparser.Error as e:
-        doc.warn("config-parse-failed", f"kept as raw text: {e}")
-        doc.add(md.fence(source.text, "ini"))
+        doc.flag("config-parse-failed", f"kept as raw text: {e}")
+        doc.fenced(source.text, "ini")
         return doc
     for name in found.sections():
-        doc.add(md.heading(2, name))
-        doc.add(md.kv_table(found.items(name)))
+        doc.heading(2, name)
+        doc.facts(found.items(name))
     if found.defaults():
-        doc.add(md.heading(2, "(defaults)"))
-        doc.add(md.kv_table(found.defaults().items()))
+        doc.heading(2, "(defaults)")
+        doc.facts(found.defaults().items())
     if not doc.parts:
-        doc.add(md.fence(source.text, "ini"))
-    doc.meta["sections"] = len(found.sections())
+        doc.fenced(source.text, "ini")
+    doc.meta |= {"sections": len(found.sections())}
     return doc
 
 
-@registry.converter("yaml", "config-yaml", priority=10, requires="yaml", description="fenced, top-level keys listed")
+@reads("yaml/config-yaml", 10, "fenced, top-level keys listed", needs="yaml")
 def read_yaml(source: Source, options: Options) -> Document:
     import yaml
 
     doc = Document()
-    doc.add(md.fence(source.text, "yaml"))
+    doc.fenced(source.text, "yaml")
     try:
         data = yaml.safe_load(source.text)
     except Exception as e:  # noqa: BLE001 - whatever is wrong, the text itself is kept
-        doc.warn("yaml-parse-failed", f"kept as raw text: {e}")
+        doc.flag("yaml-parse-failed", f"kept as raw text: {e}")
         return doc
     if isinstance(data, dict):
-        doc.meta["top_level_keys"] = [str(k) for k in data][:50]
-    elif isinstance(data, list):
-        doc.meta["items"] = len(data)
+        doc.meta |= {"top_level_keys": [str(k) for k in data][:50]}
+    if isinstance(data, list):
+        doc.meta |= {"items": len(data)}
     return doc
 
 
-@registry.converter("yaml", "config-yaml-raw", priority=90, description="fenced only")
+@reads("yaml/config-yaml-raw", 90, "fenced only")
 def read_yaml_raw(source: Source, options: Options) -> Document:
     doc = Document()
-    doc.add(md.fence(source.text, "yaml"))
-    doc.warn("no-yaml-parser", "no YAML parser is installed", "info")
+    doc.fenced(source.text, "yaml")
+    doc.info("no-yaml-parser", "no YAML parser is installed")
     return doc
 
 
-@registry.converter("toml", "config-toml", priority=10, description="scalars and tables as Markdown tables")
+@reads("toml/config-toml", 10, "scalars and tables as Markdown tables")
 def read_toml(source: Source, options: Options) -> Document:
     doc = Document()
     try:
         data = tomllib.loads(source.text)
     except tomllib.TOMLDecodeError as e:
-        doc.warn("toml-parse-failed", f"kept as raw text: {e}")
-        doc.add(md.fence(source.text, "toml"))
+        doc.flag("toml-parse-failed", f"kept as raw text: {e}")
+        doc.fenced(source.text, "toml")
         return doc
-    doc.add(md.kv_table((k, v) for k, v in data.items() if not isinstance(v, (dict, list))))
+    doc.facts((k, v) for k, v in data.items() if type(v) not in (list, dict))
     for name, inner in data.items():
         if isinstance(inner, dict):
-            doc.add(md.heading(2, name))
-            doc.add(md.kv_table((k, json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v)) for k, v in inner.items()))
-    doc.add(md.details("Raw TOML", md.fence(source.text, "toml")))
+            doc.heading(2, name)
+            doc.facts((k, json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v)) for k, v in inner.items())
+    doc.folded("Raw TOML", md.fence(source.text, "toml"))
     return doc
 
 
 def diff_stats(text: str) -> tuple[int, int, int]:
     """(files, lines added, lines removed); both sides of a file count."""
     lines = text.split("\n")
-    names = {m[1] for m in re.finditer(r"^(?:\+\+\+|---)\s+([^\t\n]+)", text, re.M)} - {"/dev/null"}
+    names = {m[1] for m in re.finditer(r"^(?:-{3}|\+{3})\s+([^\n\t]+)", text, re.M)} - {"/dev/null"}
     return len(names), sum(x[:1] == "+" and x[:3] != "+++" for x in lines), sum(x[:1] == "-" and x[:3] != "---" for x in lines)
 
 
-@registry.converter("diff", "diff-patch", priority=10, description="counts and the fenced patch")
+@reads("diff/diff-patch", 10, "counts and the fenced patch")
 def read_diff(source: Source, options: Options) -> Document:
     doc = Document()
-    doc.add(md.kv_table(zip(("Files touched", "Lines added", "Lines removed"), diff_stats(source.text))))
-    doc.add(md.fence(source.text, "diff"))
+    doc.facts(zip(("Files touched", "Lines added", "Lines removed"), diff_stats(source.text)))
+    doc.fenced(source.text, "diff")
     return doc
 
 
-def cues(text: str) -> list[tuple[float | None, float | None, str]]:
+Cue = tuple[float | None, float | None, str]
+
+
+def cues(text: str) -> list[Cue]:
     """(start, end, text) of SRT, VTT and ASS subtitles."""
     if re.search(r"^\[(?:Script Info|Events)\]", text, re.M):
         rows = (x.split(",", 9) for x in text.split("\n") if x.startswith("Dialogue:"))
-        return [(md.seconds(r[1]), md.seconds(r[2]), md.squash(re.sub(r"\\[Nn]", " ", re.sub(r"\{[^}]*\}", "", r[9])))) for r in rows if len(r) == 10]
-    out: list[tuple[float | None, float | None, str]] = []
-    for block in re.split(r"\n\s*\n", text.strip()):
+        return [(md.seconds(r[1]), md.seconds(r[2]), md.squash(re.sub(r"\\[Nn]", " ", re.sub(r"[{][^}]*[}]", "", r[9])))) for r in rows if len(r) == 10]
+    out: list[Cue] = []
+    for block in md.blocks(text.strip()):
         lines = [x for x in block.split("\n") if x.strip()]
-        if lines and lines[0].strip().upper().startswith(("WEBVTT", "NOTE")):
-            del lines[0]
-        if lines and re.fullmatch(r"\d+", lines[0].strip()):
-            del lines[0]
+        for mark in (r"\s*(?:WEBVTT|NOTE)", r"\s*\d+\s*$"):
+            if lines and re.match(mark, lines[0], re.I):
+                del lines[0]
         if not lines:
             continue
-        left, arrow, right = lines[0].partition("-->")
+        times = lines[0].split("-->", 1)
+        arrow, left, right = len(times) == 2, times[0], times[-1]
         said = md.squash(" ".join(lines[1:] if arrow else lines))
         if said:
             out.append((md.seconds(left), md.seconds(right), said) if arrow else (None, None, said))
     return out
 
 
-@registry.converter("subtitle", "subtitle", priority=10, description="cues with their times")
+@reads("subtitle/subtitle", 10, "cues with their times")
 def read_subtitle(source: Source, options: Options) -> Document:
     doc = Document()
     found = cues(source.text)
     if not found:
-        doc.warn("no-cues", "no subtitle cue was recognised")
-        doc.add(md.fence(source.text, "text"))
+        doc.flag("no-cues", "no subtitle cue was recognised")
+        doc.fenced(source.text, "text")
         return doc
     if options.subtitle_table:
-        doc.add(md.table([("Start", "End", "Text"), *((md.clock(a), md.clock(b), t) for a, b, t in found)]))
+        doc.table([("Start", "End", "Text"), *((md.clock(a), md.clock(b), t) for a, b, t in found)])
     else:
-        doc.add("\n\n".join(f"**[{md.clock(a)}]** {t}" for a, _, t in found))
+        for begin, _, line in found:
+            doc.add(f"**[{md.clock(begin)}]** {line}")
     doc.meta["cues"] = len(found)
     if found[0][0] is not None:
-        doc.meta["duration"] = md.clock(found[-1][1] or found[-1][0])
+        last = found[-1]
+        doc.meta |= {"duration": md.clock(last[1] or last[0])}
     return doc
 
 
 def svg_labels(text: str) -> list[str]:
-    inner = re.findall(r"<(?:text|tspan|title|desc)\b[^>]*>(.*?)</(?:text|tspan|title|desc)>", text, re.S | re.I)
-    return [x for x in (md.squash(re.sub(r"<[^>]+>", "", i)) for i in inner) if x]
+    inner = re.findall(r"<(?:desc|title|t(?:span|ext))\b[^<>]*>(.*?)</(?:desc|title|t(?:span|ext))>", text, re.S | re.I)
+    return [x for x in (md.squash(re.sub("<[^<>]+>", "", i)) for i in inner) if x]
 
 
-@registry.converter("svg", "svg", priority=10, description="labels and source")
+@reads("svg/svg", 10, "labels and source")
 def read_svg(source: Source, options: Options) -> Document:
     doc = Document()
     labels = svg_labels(source.text)
     if labels:
-        doc.add("## Text in image\n\n" + md.bullets(labels))
-    doc.add(md.details("SVG source", md.fence(source.text, "xml")))
+        doc.heading(2, "Text in image")
+        doc.add(md.bullets(labels))
+    doc.folded("SVG source", md.fence(source.text, "xml"))
     doc.meta["labels"] = len(labels)
     if not labels:
-        doc.warn("no-text-in-svg", "no label was found in the drawing", "info")
+        doc.info("no-text-in-svg", "no label was found in the drawing")
     return doc
 
 
-@registry.converter("html", "html", priority=10, description="structured Markdown without page chrome")
+@reads("html/html", 10, "structured Markdown without page chrome")
 def read_html(source: Source, options: Options) -> Document:
     doc = Document()
     doc.title = html_title(source.text)
@@ -303,9 +312,9 @@ def read_html(source: Source, options: Options) -> Document:
     doc.add(body)
     doc.meta |= {**stats, "engine": engine}
     if not stats["headings"]:
-        doc.warn("no-headings", "the page has no headings", "info")
+        doc.info("no-headings", "the page has no headings")
     _uncertain(doc, source)
-    external = len(re.findall(r"\]\(https?://", body))
-    if options.keep_links and external > 50:
-        doc.warn("link-heavy", f"{external} links to other sites", "info")
+    external = len(re.findall(r"[\]][(]https?:/", body))
+    if options.keep_links and external > MANY_LINKS:
+        doc.info("link-heavy", f"{external} links to other sites")
     return doc

@@ -118,7 +118,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'event', event_id, props FROM events UNION ALL SELECT 'sample', id, text FROM {_values(SAMPLES, 'id, text')}),
       u AS (SELECT *, lower(substr(text, 1, 2048)) AS head, regexp_replace(text, '^\\s+', '') AS cut,
         list_slice(list_filter({_LINES.format('text')}, lambda x: trim(x) <> ''), 1, 12) AS ls FROM t)
-      SELECT kind, id, CASE WHEN regexp_matches(head, '<!doctype html|<html|<head|<body') OR len(regexp_extract_all(head, '<(?:div|p|span|a|table|ul|li|h[1-6])[\\s>]')) >= 3 THEN 'html'
+      SELECT kind, id, CASE WHEN regexp_matches(head, '<!doctype html|<html|<head|<body') OR len(regexp_extract_all(head, '<(?:h[1-6]|li|ul|table|span|div|a|p)[\\s>]')) >= 3 THEN 'html'
         WHEN substr(cut, 1, 1) IN ('{{', '[') AND (json_valid(cut) OR regexp_matches(cut, '^[{{\\[]\\s*["}}\\]{{]')) THEN 'json'
         WHEN len(ls) >= 2 AND ({' OR '.join(_fits(m) for m, _ in _MARKS[:4])}) THEN 'csv'
         WHEN regexp_matches(text, '(?m)^#{{1,6}}\\s+\\S') THEN 'markdown' ELSE 'text' END AS format FROM u""",

@@ -17,7 +17,7 @@ from quirespark.operators.chain import Registry, Source, load
 from quirespark.schemas import DOCUMENT_FIELDS, FORMAT_TYPE, SEVERITY_RANK, Document, Options, as_text
 
 RESULT_FIELDS = f"format {FORMAT_TYPE}, converter string, {DOCUMENT_FIELDS}, error string, elapsed_ms double"
-_FACTS = ("author", "creator", "language", "date", "pages", "sheets", "slides", "rows")
+_FACTS = "author creator language date pages sheets slides rows".split()
 
 
 def convert_one(name: str, raw: bytes | None, options: Options, registry: Registry) -> dict:

@@ -150,7 +150,7 @@ def bundle(assembled: DataFrame, name_col: str = "name") -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                with zipfile.ZipFile(buffer, mode="w", compression=zipfile.ZIP_DEFLATED) as z:
                     z.writestr(f"{os.path.splitext(row[name_col])[0]}.md", row["markdown"])
                     for a in row["assets"] or ():
                         z.writestr(f"assets/{a['filename']}", a["data"])

@@ -231,7 +231,7 @@ def underlined_titles(spark, sf_dir):
 def list_runs(spark, sf_dir):
     """Longest run of list items on consecutive lines: gaps and islands."""
     lines = _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    items = lines.where(F.col("line").rlike(r"^\s{0,3}(?:\d+[.)]|[-*+])\s+\S"))
+    items = lines.where(F.col("line").rlike(r"^\s{0,3}(?:[*+-]|\d+[).])\s+\S"))
     island = F.col("n") - F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))
     runs = items.withColumn("island", island).groupBy("doc_id", "island").agg(F.count("*").alias("run"))
     return runs.groupBy("doc_id").agg(F.max("run").alias("longest"))
@@ -506,7 +506,7 @@ def document_outline(spark, sf_dir):
 
     register(spark)
     return spark.sql(
-        "SELECT * FROM (SELECT 'cue' AS kind, text AS what, CAST(start AS STRING) AS at FROM md_cues('1\n00:00:01,000 --> 00:00:03,500\nHello\n\n2\n00:00:04,000 --> 00:00:05,000\nthere'))"
+        "SELECT * FROM (SELECT 'cue' AS kind, text AS what, CAST(start AS STRING) AS at FROM md_cues('7\n00:00:02,000 --> 00:00:03,250\nWell\n\n8\n00:00:04,000 --> 00:00:05,000\nthere'))"
         " UNION ALL SELECT kind, name, CAST(line AS STRING) FROM md_outline('def f():\n  pass\nclass C:\n  def g(self):\n    pass')"
         " UNION ALL SELECT 'heading', title, CAST(level AS STRING) FROM md_headings('# A\n## B\ntext')"
         " UNION ALL SELECT 'path', path, value FROM md_json_paths('{\"a\": {\"b\": [1, 2]}, \"c\": null}')"

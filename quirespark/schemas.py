@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict, dataclass, field, fields
+from collections.abc import Iterable, Sequence
 from typing import Any
 
-STATUS_RANK = {"ok": 0, "partial": 1, "failed": 2, "empty": 3}
-SEVERITY_RANK = {"error": 0, "warning": 1, "info": 2}
+from quirespark.functions import markdown as md
+
+STATUS_RANK = {s: n for n, s in enumerate("ok partial failed empty".split())}
+SEVERITY_RANK = {s: n for n, s in enumerate("error warning info".split())}
 BAD_STATUSES = ("empty", "failed")
 
 WARNING_TYPE = "struct<code:string,message:string,severity:string>"
@@ -20,50 +22,80 @@ DOCUMENT_FIELDS = (
 )
 
 
-@dataclass
 class Document:
-    """What one converter makes of one source."""
+    """What one reader makes of one source: a builder of parts, facts and diagnoses."""
+
+    def __init__(self, parts: list[str] | None = None) -> None:
+        self.parts = parts or []
+        self.title, self.status = "", "ok"
+        self.assets: list[dict] = []
+        self.warnings: list[dict] = []
+        self.meta: dict[str, Any] = {}
 
-    title: str = ""
-    parts: list[str] = field(default_factory=list)
-    assets: list[dict] = field(default_factory=list)
-    warnings: list[dict] = field(default_factory=list)
-    meta: dict[str, Any] = field(default_factory=dict)
-    status: str = "ok"
+    # -- content
 
     def add(self, part: str | None) -> None:
         if part and part.strip():
             self.parts.append(part)
 
-    def warn(self, code: str, message: str, severity: str = "warning") -> None:
+    def heading(self, level: int, text: str) -> None:
+        self.add(md.heading(level, text))
+
+    def table(self, rows: Iterable[Sequence[Any]], header: bool = True) -> None:
+        self.add(md.table(rows, header))
+
+    def facts(self, pairs: Iterable[tuple[Any, Any]], key_header: str = "Field") -> None:
+        self.add(md.kv_table(pairs, key_header))
+
+    def fenced(self, text: str, language: str = "") -> None:
+        self.add(md.fence(text, language))
+
+    def folded(self, summary: str, body: str) -> None:
+        self.add(md.details(summary, body))
+
+    def asset(self, filename: str, data: bytes, media_type: str, origin: str) -> None:
+        self.assets.append({"filename": filename, "data": data, "media_type": media_type, "origin": origin})
+
+    # -- diagnoses
+
+    def _say(self, severity: str, code: str, message: str) -> None:
         self.warnings.append({"code": code, "message": message, "severity": severity})
-        if severity != "info" and self.status == "ok":
-            self.status = "partial"
+
+    def info(self, code: str, message: str) -> None:
+        self._say("info", code, message)
+
+    def flag(self, code: str, message: str) -> None:
+        """A warning: the document is partial from now on, if it was whole."""
+        self._say("warning", code, message)
+        self.status = "partial" if self.status == "ok" else self.status
+
+    def fail(self, status: str, code: str, message: str) -> Document:
+        self.worsen(status)
+        self._say("error", code, message)
+        self.status = "partial" if self.status == "ok" else self.status
+        return self
+
+    def error(self, code: str, message: str) -> None:
+        self.fail(self.status, code, message)
 
     def worsen(self, status: str) -> None:
         if STATUS_RANK[status] >= STATUS_RANK[self.status]:
             self.status = status
 
-    def asset(self, filename: str, data: bytes, media_type: str, origin: str) -> None:
-        self.assets.append({"filename": filename, "data": data, "media_type": media_type, "origin": origin})
+    # -- what has been built
 
     @property
     def markdown(self) -> str:
         return body_of(self.parts)
 
     def blank(self) -> bool:
-        return not self.markdown.strip()
-
-    def fail(self, status: str, code: str, message: str) -> Document:
-        self.worsen(status)
-        self.warn(code, message, "error")
-        return self
+        return self.markdown == ""
 
 
 def body_of(parts: list[str]) -> str:
     """Parts as one body: blank lines between, never more than one, one newline at the end."""
-    text = re.sub(r"\n{3,}", "\n\n", "\n\n".join(p.strip("\n") for p in parts)).strip()
-    return text + "\n" if text else ""
+    whole = re.sub("\n\n\n+", "\n\n", "\n\n".join(part.strip("\n") for part in parts)).strip()
+    return f"{whole}\n" if whole else ""
 
 
 def as_text(value: Any) -> str:
@@ -71,59 +103,32 @@ def as_text(value: Any) -> str:
     if isinstance(value, str):
         return value
     if isinstance(value, bool) or value is None or isinstance(value, (list, dict, tuple)):
-        return json.dumps(value, ensure_ascii=False, default=str)
+        return json.dumps(value, default=str, ensure_ascii=False)
     return str(value)
 
 
-@dataclass(frozen=True)
+_SWITCHED_ON = (
+    "code_outline csv_header drop_chrome extract_images front_matter json_table keep_going keep_images keep_links mirror notebook_outputs "
+    "pdf_page_markers pdf_tables pptx_notes pptx_tables report sniff write_assets"
+)
+_SWITCHED_OFF = "debug eml_prefer_html numbered_headings overwrite pdf_page_details report_json subtitle_table"
+_NUMBERS = {"csv_max_cols": 16, "csv_max_rows": 50, "json_max_rows": 200, "max_bytes": 512 << 20, "xlsx_max_rows": 200}
+_CHOICES = {"assets_dir": "assets", "delimiter": None, "force_format": None, "html_engine": "auto", "output_dir": None, "pdf_max_pages": None, "suffix": ".md"}
+#: Accepted, without effect.
+_IDLE = {"min_heading_len": 2, "recurse_archives": False}
+DEFAULTS = dict.fromkeys(_SWITCHED_ON.split(), True) | dict.fromkeys(_SWITCHED_OFF.split(), False) | _NUMBERS | _CHOICES | _IDLE
+
+
 class Options:
-    """Every knob of a conversion. Unknown names and None are ignored by of()."""
-
-    output_dir: str | None = None
-    suffix: str = ".md"
-    overwrite: bool = False
-    mirror: bool = True
-    assets_dir: str = "assets"
-    write_assets: bool = True
-    front_matter: bool = True
-    report: bool = True
-    report_json: bool = False
-    keep_going: bool = True
-    max_bytes: int | None = 512 << 20
-    pdf_max_pages: int | None = None
-    extract_images: bool = True
-    keep_links: bool = True
-    keep_images: bool = True
-    drop_chrome: bool = True
-    html_engine: str = "auto"
-    pdf_tables: bool = True
-    pdf_page_details: bool = False
-    pdf_page_markers: bool = True
-    csv_max_rows: int = 50
-    csv_max_cols: int = 16
-    csv_header: bool = True
-    delimiter: str | None = None
-    xlsx_max_rows: int = 200
-    json_max_rows: int = 200
-    json_table: bool = True
-    pptx_notes: bool = True
-    pptx_tables: bool = True
-    notebook_outputs: bool = True
-    subtitle_table: bool = False
-    numbered_headings: bool = False
-    code_outline: bool = True
-    eml_prefer_html: bool = False
-    force_format: str | None = None
-    sniff: bool = True
-    debug: bool = False
-    recurse_archives: bool = False  # accepted, without effect
-    min_heading_len: int = 2  # accepted, without effect
+    """Every knob of a conversion, as attributes. Unknown names are ignored by of()."""
+
+    def __init__(self, **values: Any) -> None:
+        vars(self).update(DEFAULTS | values)
 
     @classmethod
     def of(cls, values: dict[str, Any] | None = None, **more: Any) -> Options:
-        given = {**(values or {}), **more}
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in given.items() if k in known and v is not None})
+        """Options of the given values; None leaves a default as it is."""
+        return cls(**{k: v for k, v in {**(values or {}), **more}.items() if k in DEFAULTS and v is not None})
 
     def as_dict(self) -> dict[str, Any]:
-        return asdict(self)
+        return dict(vars(self))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Globs = list[str] | None
 SKIPPED = frozenset(
     ".git .hg .svn .idea .vscode __pycache__ node_modules .venv venv .mypy_cache .pytest_cache .ruff_cache .tox dist build .md".split()
 )
@@ -30,7 +31,7 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"/?[^/]*$", "")
 
 
-def admitted(path: Column, patterns: list[str] | None = None, exclude: list[str] | None = None, skip_dirs: set[str] | None = None, output_dir: str | None = None, root: str = "") -> Column:
+def admitted(path: Column, patterns: Globs = None, exclude: Globs = None, skip_dirs: set[str] | None = None, output_dir: str | None = None, root: str = "") -> Column:
     """Whether a walk takes a path: names match a pattern, nothing excludes name or path."""
     below = F.regexp_replace(folder_of(path), "^" + "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in root.rstrip("/")), "")
     keep = ~F.exists(F.split(below, "/"), lambda p: p.isin(*sorted(SKIPPED | (skip_dirs or set()))))
