@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that every executor shares")
     made = tempfile.mkdtemp(prefix="quirespark-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling; DataFrame functions only.
 
-A source's target over its size is the number of copies that each of its documents is
-expected to give. The whole part of it is certain. For the rest, every document draws a fixed
+A document's expected copies follow from its source's target (and its own importance, if
+given). The whole part of them is certain. For the rest p, every document draws a fixed
 uniform number u from its id and is ranked by its random odds over its inclusion odds,
 (u / (1 - u)) / (p / (1 - p)); the lowest ranks are taken until the words still missing are
 reached. Ranks are never sorted as a whole: words are summed by source and rank bucket before
@@ -75,26 +75,29 @@ def _with_plan(rows: DataFrame, plan: DataFrame, few: bool, salts: int = 16) ->
     return rows.join(plan, same & (F.col("salt_") == F.col("salt"))).drop("of", "salt", "salt_")
 
 
-def _drawn(rows: DataFrame, buckets: int) -> DataFrame:
-    """Every row's uniform number, its Pareto rank and the bucket of that.
-
-    Within a source the rank grows with u, so that buckets of u are buckets of rank."""
-    u, p = F.col("u"), F.col("rest")
+def _drawn(rows: DataFrame, cap: float, buckets: int) -> DataFrame:
+    """Every row's certain copies, the odds of one more, its Pareto rank and that's bucket."""
+    u, p, rank = F.col("u"), F.col("rest"), F.col("rank")
     return (
-        rows.withColumn("u", uniform(F.col("id")))
+        rows.withColumn("expected", F.least(F.col("ratio") * F.col("weight"), F.lit(float(cap))))
+        .withColumns({"certain": F.floor("expected").cast("long"), "rest": F.col("expected") - F.floor("expected"), "u": uniform(F.col("id"))})
         .withColumn("rank", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))).otherwise(float("inf")))
-        .withColumn("bucket", F.floor(u * buckets).cast("int"))
+        .withColumn("bucket", F.when(p > 0, F.least(F.floor(rank / (1 + rank) * buckets), F.lit(buckets - 1))).otherwise(buckets).cast("int"))
     )
 
 
 def mix_copies(
     docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, id_col: str = "doc_id",
-    text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, buckets: int = BUCKETS,
-    few_sources: int = 20_000,
+    text_col: str = "text", source_col: str = "source", importance_col: str | None = None, keep: list[str] | None = None,
+    buckets: int = BUCKETS, few_sources: int = 20_000,
 ) -> DataFrame:
     """A row a row of ``docs``: the columns ``keep`` (id and source if not given), then
     __size, __source_size, __target and __copies, how often the mix takes it.
 
+    A document's expected copies are its source's target over its size or, with an importance
+    column, in proportion to that (null and negative: 0), never above ``cap``; so inclusion
+    odds differ between sources, and between documents where importance does.
+
     Null text has size 0; null source is a source. Rows of the same id draw the same number;
     among equal ranks the smaller id, then the smaller size, is taken first, and rows equal in
     all three are taken together or not at all. An empty table gives an empty result; other
@@ -103,48 +106,56 @@ def mix_copies(
     every document compares its own with it.
     """
     size = word_count(F.col(text_col).cast("string"))
-    sizes = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
-    plan = (
-        source_targets(sizes, weights, cap)
-        .withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumns({"certain": F.floor("expected").cast("long"), "rest": F.col("expected") - F.floor("expected")})
-        .withColumn("missing", F.col("target") - F.col("certain") * F.col("source_size"))
+    weight = F.greatest(F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance_col else F.lit(1.0)
+    narrow = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight")]
+    sizes = materialise(docs.select(narrow), "sizes")
+    mass = sizes.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("size") * F.col("weight")).alias("mass"))
+    targets = source_targets(sizes, weights, cap)
+    plan = materialise(
+        targets.join(mass, F.col("source").eqNullSafe(F.col("of")))
+        .select("source", "source_size", "target", F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).otherwise(0.0).alias("ratio")),
+        "plan",
     )
-    plan = materialise(plan, "plan")
     few = plan.count() <= few_sources
-    ranked = _drawn(_with_plan(sizes, plan, few), buckets)
+    ranked = _drawn(_with_plan(sizes, plan, few), cap, buckets)
 
-    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Words by source and bucket; the last bucket holds those that can give no more copies.
+    whole = Window.partitionBy("source")
+    so_far = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edge = materialise(
-        ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+        ranked.groupBy("source", "bucket")
+        .agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target"))
+        .withColumn("missing", F.col("target") - F.sum("sure").over(whole))
         .withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
-        .where((F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")))
-        .select("source", F.col("bucket").alias("edge"), "before"),
+        .withColumn("here", (F.col("bucket") < buckets) & (F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")))
+        # Where even all are too few, the edge is behind the last bucket.
+        .groupBy("source").agg(F.min(F.when(F.col("here"), F.struct("bucket", "before"))).alias("found"), F.max("missing").alias("missing"),
+                               F.sum(F.when(F.col("bucket") < buckets, F.col("words"))).alias("all"))
+        .select("source", "missing", F.coalesce("found.bucket", F.when(F.col("missing") > F.col("all"), F.lit(buckets))).alias("edge"), "found.before"),
         "edge",
     )
     inside = Window.partitionBy("source").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     on_edge = _with_plan(ranked, edge, few).where(F.col("bucket") == F.col("edge"))
     cut = (
-        on_edge.groupBy("source", "rank", "id", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("missing").alias("missing"))
+        on_edge.where(F.col("rest") > 0).groupBy("source", "rank", "id", "size")
+        .agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("missing").alias("missing"))
         .withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
         # The last one is taken if that brings the sum nearer to what is missing.
         .where(F.col("at") + F.col("size") * F.col("n") / 2 < F.col("missing"))
         .groupBy("source").agg(F.max(F.struct("rank", "id", "size")).alias("last"))
     )
-    edge = edge.withColumnsRenamed({"source": "e_source"}).drop("before")
+    edge = edge.select(F.col("source").alias("e_source"), "edge")
     cut = cut.withColumnRenamed("source", "c_source")
     final = materialise(
         plan.join(edge, plan.source.eqNullSafe(edge.e_source), "left").join(cut, plan.source.eqNullSafe(cut.c_source), "left")
-        .select("source", "source_size", "target", "certain", "rest", "edge", "last"),
+        .select("source", "source_size", "target", "ratio", "edge", "last"),
         "cuts",
     )
     if keep is None:
-        keep, rows = [id_col, source_col], sizes.select(F.col("id").alias("k0"), F.col("source").alias("k1"), "id", "source", "size")
+        keep, rows = [id_col, source_col], sizes.select(F.col("id").alias("k0"), F.col("source").alias("k1"), "id", "source", "size", "weight")
     else:
-        rows = docs.select(
-            *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")
-        )
-    placed = _drawn(_with_plan(rows, final, few), buckets)
+        rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *narrow)
+    placed = _drawn(_with_plan(rows, final, few), cap, buckets)
     mine = F.struct("rank", "id", "size")
     taken = (F.col("rest") > 0) & (
         (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(mine <= F.col("last"), F.lit(False)))

@@ -117,7 +117,9 @@ def best_pairs(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int)
             q, c = np.nonzero(s >= (kth - 1e-9 * np.maximum(np.abs(kth), np.abs(s).max(1)))[:, None])
         else:
             q, c = np.divmod(np.arange(s.size), s.shape[1])
-        exact = (part[q] * vectors[c]).sum(1)
+        exact = np.empty(len(q))
+        for i in range(0, len(q), 16384):
+            exact[i : i + 16384] = (part[q[i : i + 16384]] * vectors[c[i : i + 16384]]).sum(1)
         order = np.lexsort((ids[c], -exact, q))
         q, c, exact = q[order], c[order], exact[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirespark.llm.mixing import mix_copies, mix_sources, source_targets
 from tests.llm.helpers import DOCS, awkward, clash, long_text
@@ -63,5 +64,18 @@ def test_salted_join_gives_the_same(spark):
     assert a == sorted(map(str, mix_copies(docs, keep=docs.columns, few_sources=0).collect()))
 
 
+def test_importance_changes_the_odds_within_a_source(spark):
+    docs = [(i, "w " * 10, None, "ab"[i % 2], i % 4 // 2) for i in range(4000)]
+    df = spark.createDataFrame(docs, DOCS).withColumn("importance", 1.0 + 3.0 * F.col("n_chars"))
+    rows = {r["doc_id"]: r for r in mix_sources(df, importance_col="importance").collect()}
+    for source in "ab":
+        mine = [rows[i] for i in rows if "ab"[i % 2] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 10
+    mean = lambda heavy: sum(rows[i]["copies"] for i in rows if i % 4 // 2 == heavy and i % 2 == 0) / 1000
+    assert 3.2 < mean(1) / mean(0) < 4.8
+    none = mix_sources(df.withColumn("importance", F.lit(None)), importance_col="importance").collect()
+    assert {r["copies"] for r in none} == {0}
+
+
 def test_empty_table(spark):
     assert mix_sources(spark.createDataFrame([], DOCS)).count() == 0
