@@ -298,5 +298,19 @@ def json_kind(text: Column) -> Column:
     )
 
 
+def image_dimensions(content: Column) -> Column:
+    """(width, height) from the header of a PNG, GIF or BMP; null for others."""
+    head = F.hex(F.substring(content, 1, 32))
+    big = lambda at, n: F.conv(F.substring(head, 2 * at + 1, 2 * n), 16, 10).cast("int")
+    little = lambda at, n: F.conv(F.concat(*[F.substring(head, 2 * (at + i) + 1, 2) for i in range(n - 1, -1, -1)]), 16, 10).cast("int")
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    long = lambda n: F.octet_length(content) >= n
+    return (
+        F.when(head.startswith("89504E470D0A1A0A") & long(24), size(big(16, 4), big(20, 4)))
+        .when(head.startswith("474946") & long(10), size(little(6, 2), little(8, 2)))
+        .when(head.startswith("424D") & long(26), size(little(18, 4), little(22, 4)))
+    )
+
+
 def relative(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))

@@ -31,14 +31,18 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"/?[^/]*$", "")
 
 
-def admitted(path: Column, patterns: Globs = None, exclude: Globs = None, skip_dirs: set[str] | None = None, output_dir: str | None = None, root: str = "") -> Column:
-    """Whether a walk takes a path: names match a pattern, nothing excludes name or path."""
+def admitted(path: Column, patterns: Globs = None, exclude: Globs = None, skip_dirs: set[str] | None = None, output_dir: str | None = None, skip_paths: Globs = None, root: str = "") -> Column:
+    """Whether a walk takes a path: names match a pattern, nothing excludes name or path.
+
+    A long list of paths to skip is better anti-joined (corpus.not_yet)."""
     below = F.regexp_replace(folder_of(path), "^" + "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in root.rstrip("/")), "")
     keep = ~F.exists(F.split(below, "/"), lambda p: p.isin(*sorted(SKIPPED | (skip_dirs or set()))))
     if patterns:
         keep = keep & _any([name_of(path).rlike(glob_regex(p)) for p in patterns])
     if exclude:
         keep = keep & ~_any([name_of(path).rlike(glob_regex(p)) | path.rlike(glob_regex(p)) for p in exclude])
+    if skip_paths:
+        keep = keep & ~path.isin(*skip_paths)
     if output_dir:
         keep = keep & ~path.startswith(output_dir.rstrip("/") + "/")
     return keep

@@ -114,6 +114,16 @@ def test_decoding():
     assert formats.decode("x".encode("utf-16")).text == "x" and formats.decode("a�b".encode()).had_errors
 
 
+def test_image_dimensions(spark):
+    from quirespark.operators.media import dimensions
+
+    heads = [b"\x89PNG\r\n\x1a\n" + bytes(8) + (240).to_bytes(4, "big") + (120).to_bytes(4, "big"), b"GIF89a" + bytes([3, 1, 9, 0]),
+             b"BM" + bytes(16) + (640).to_bytes(4, "little") + (480).to_bytes(4, "little"), b"\xff\xd8\xff", b"GIF", b""]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, c binary").orderBy("i")
+    got = [(r[0]["width"], r[0]["height"]) if r[0] else (None, None) for r in df.select(C.image_dimensions(F.col("c"))).collect()]
+    assert got == [dimensions(h) for h in heads] and got[0] == (240, 120) and got[2] == (640, 480)
+
+
 def test_urls(spark):
     urls = ["https://ok.test/a", "http://localhost", "http://127.0.0.1", "https://10.1.1.1", "ftp://x.y", "http://[::1]/", "http://172.16.0.1", "http://172.32.0.1", "", "x", "http://169.254.1.1"]
     assert column(spark, urls, safety.url_allowed) == [safety.may_fetch(u) for u in urls]

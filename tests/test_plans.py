@@ -40,6 +40,7 @@ def test_walk(spark, tree):
     assert names == [".hid.md", "a.txt", "b/a.txt", "b/empty.csv", "b/People.csv", "blob.bin"]
     assert [r["name"] for r in walk(spark, str(tree), patterns=["*.txt"], exclude=["*/b/*"]).collect()] == ["a.txt"]
     assert walk(spark, str(tree), recursive=False).count() == 3 and walk(spark, str(tree / "a.txt")).first()["name"] == "a.txt"
+    assert walk(spark, str(tree), skip_paths=[str(tree / "a.txt")]).count() == 5
     assert walk(spark, str(tree), output_dir=str(tree / "b")).count() == 3 and glob_regex("a?.*") == r"^a.\..*$"
     limited = read_contents(walk(spark, str(tree)), max_bytes=20).collect()
     assert sum(r["content"] is None for r in limited) == 1
