@@ -38,7 +38,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = simhash_groups(docs)
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     first = materialise(first, "first")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # The list of kept ids grows with the corpus: at every size it meets the texts by a shuffle.
+    kept = docs.join(first.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     if not first.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where("doc_id IS NULL"))
