@@ -8,6 +8,7 @@ import json
 import os
 import re
 import zipfile
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import cache
 
@@ -252,7 +253,7 @@ def signature_column(content: Column) -> Column:
 
 def html_column(text: Column) -> Column:
     head = F.lower(F.substring(text, 1, 2048))
-    return head.rlike(r"<!doctype html|<html|<head|<body") | (F.regexp_count(head, F.lit(r"<(?:h[1-6]|li|ul|table|span|div|a|p)[\s>]")) >= 3)
+    return head.contains("<") & (head.rlike(r"<!doctype html|<html|<head|<body") | (F.regexp_count(head, F.lit(r"<(?:h[1-6]|li|ul|table|span|div|a|p)[\s>]")) >= 3))
 
 
 def json_column(text: Column) -> Column:
@@ -261,13 +262,18 @@ def json_column(text: Column) -> Column:
     return F.substring(cut, 1, 1).isin("{", "[") & (valid | cut.rlike(r'^[{\[]\s*["}\]{]'))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def delimited_column(text: Column) -> Column:
     lines = F.slice(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1, 12)
-    def fits(mark: str) -> Column:
-        counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit(""))))
-        high, low = F.array_max(counts), F.array_min(counts)
-        return (low >= 1) & ((high - low) <= F.greatest(F.lit(1.0), high * F.lit(0.34)))
-    return (F.size(lines) >= 2) & (fits(",") | fits("\t") | fits(";") | fits("|"))
+    marks = F.array(*[F.lit(m) for m in ",\t;|"])
+    even = lambda high, low: (low >= 1) & ((high - low) <= F.greatest(F.lit(1.0), high * F.lit(0.34)))
+    count = lambda m: lambda x: F.length(x) - F.length(F.replace(x, m, F.lit("")))
+    fits = lambda ls: F.exists(marks, lambda m: bind(F.transform(ls, count(m)), lambda n: even(F.array_max(n), F.array_min(n))))
+    return bind(lines, lambda ls: (F.size(ls) >= 2) & fits(ls))
 
 
 def markdown_column(text: Column) -> Column:
