@@ -32,10 +32,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group; rows without an id all stay."""
-    from quirespark.llm.simhash import simhash_groups
+    """The document of the smallest id of every group of 5-word similarity 0.8; rows without an id all stay."""
+    from quirespark.llm.nearcopies import copy_groups
 
-    groups = simhash_groups(docs)
+    groups = copy_groups(docs)
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     first = materialise(first, "first")
     # The list of kept ids grows with the corpus: at every size it meets the texts by a shuffle.
