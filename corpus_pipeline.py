@@ -32,17 +32,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of 5-word similarity 0.8; rows without an id all stay."""
+    """One document of every group of 5-word similarity 0.8: that of the smallest id, then text hash; null ids come last."""
     from quirespark.llm.nearcopies import copy_groups
 
-    groups = copy_groups(docs)
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    first = materialise(first, "first")
-    # The list of kept ids grows with the corpus: at every size it meets the texts by a shuffle.
-    kept = docs.join(first.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    rows = copy_groups(docs).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows")
+    first = materialise(rows.groupBy("component").agg(F.min(order).alias("f")).select("f.doc_id", "f.text_hash", "f.rows"), "first")
+    # The list of kept rows grows with the corpus: at every size it meets the texts by a shuffle.
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    ours = first.select(F.col("doc_id").alias("__id"), "text_hash").hint("shuffle_hash")
+    kept = hashed.join(ours, hashed.doc_id.eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
     if not first.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id IS NULL"))
+        kept = kept.dropDuplicates(["doc_id", "__hash"])
+    return kept.select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

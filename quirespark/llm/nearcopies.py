@@ -101,12 +101,13 @@ def copy_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY,
     group: int = GROUP,
 ) -> DataFrame:
-    """One row a row of ``docs``: id, text_hash (xxhash64 of the text), component_id.
+    """One row a row of ``docs``: id, text_hash (xxhash64 of the text), component_id, component.
 
     Texts link when their sets of word shingles are that similar, in lower case (ASCII) and
     whatever the white space; texts without a word link to each other. component_id is the
     smallest id that can be reached. A null id never is, unless all of its component's are
-    null. Repeated rows give repeated rows. Other columns are not read.
+    null. Where ids repeat, two components may have one component_id; component tells them
+    apart. Repeated rows give repeated rows. Other columns are not read.
     """
     ids = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -150,5 +151,5 @@ def copy_groups(
     rooted = found.groupBy("node").agg(F.min("id").alias("least")).join(nodes, "node", "left")
     rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = rooted.join(least, "root").select("node", "component_id")
-    return found.join(member, "node").select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "component_id")
+    member = rooted.join(least, "root").select("node", "component_id", F.col("root").alias("component"))
+    return found.join(member, "node").select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "component_id", "component")

@@ -73,6 +73,14 @@ def test_stage_removes_texts_of_one_changed_word(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d[0] for d in docs if d[0] % 2 == 0)
 
 
+def test_stage_keeps_unlinked_texts_of_one_id_and_meets_null_ids(spark):
+    a, b, c, d = (long_text(s, 60) for s in (1, 2, 3, 4))
+    docs = [(7, a), (7, b), (7, a), (5, c), (7, c), (None, d), (None, d), (None, b), (9, a)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()]
+    assert len(kept) == 4 and set(kept) == {(7, a), (7, b), (5, c), (None, d)}
+
+
 def test_run_equals_brute_force_of_five_words(spark):
     """As test_pipeline's, by the rule of this stage: doc_id 145 copies 6 at a similarity of 0.83."""
     sf = "/root/testdata/sf0.001"
