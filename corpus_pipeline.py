@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quirespark.llm._common import materialise
 
-MIN_LANGUAGE_SCORE = 0.51
+#: lang_pred alone rejects (und): any score of a named language is enough.
+MIN_LANGUAGE_SCORE = 0.0
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters and near-ties are rejected."""
+    """Documents in a learned language; only those without one (no letters) are rejected."""
     from quirespark.llm.language import UNKNOWN, fit_languages, identify_languages
 
     named = identify_languages(docs, fit_languages(docs), keep=docs.columns)
