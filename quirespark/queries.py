@@ -501,7 +501,7 @@ def event_files(spark, sf_dir):
 
 @query
 def document_outline(spark, sf_dir):
-    """Cues, symbols and headings of literal texts, by the table functions."""
+    """Cues, symbols, headings and paths of literal texts and of the tables' texts, by the table functions."""
     from quirespark.functions.tables import register
 
     register(spark)
@@ -509,5 +509,10 @@ def document_outline(spark, sf_dir):
         "SELECT * FROM (SELECT 'cue' AS kind, text AS what, CAST(start AS STRING) AS at FROM md_cues('7\n00:00:02,000 --> 00:00:03,250\nWell\n\n8\n00:00:04,000 --> 00:00:05,000\nthere'))"
         " UNION ALL SELECT kind, name, CAST(line AS STRING) FROM md_outline('def f():\n  pass\nclass C:\n  def g(self):\n    pass')"
         " UNION ALL SELECT 'heading', title, CAST(level AS STRING) FROM md_headings('# A\n## B\ntext')"
-        " UNION ALL SELECT 'path', path, value FROM md_json_paths('{\"a\": {\"b\": [1, 2]}, \"c\": null}')"
+        " UNION ALL SELECT 'path', path, value FROM md_json_paths('{{\"a\": {{\"b\": [1, 2]}}, \"c\": null}}')"
+        " UNION ALL SELECT 'cue', f.text, CAST(f.start AS STRING) FROM {docs} d, LATERAL md_cues(d.text) f"
+        " UNION ALL SELECT f.kind, f.name, CAST(f.line AS STRING) FROM {docs} d, LATERAL md_outline(d.text) f"
+        " UNION ALL SELECT 'heading', f.title, CAST(f.level AS STRING) FROM {docs} d, LATERAL md_headings(d.text) f"
+        " UNION ALL SELECT 'path', f.path, f.value FROM {events} e, LATERAL md_json_paths(e.props) f",
+        docs=_t(spark, sf_dir, "documents"), events=_t(spark, sf_dir, "events"),
     )
