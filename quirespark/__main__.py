@@ -12,10 +12,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("paths", nargs="*", help="files or folders")
     p.add_argument("--out", help="folder of the output; beside the sources in .md/ if not given")
     p.add_argument("--table", help="write the results as a Parquet table instead of files")
+    p.add_argument("--batch-report", help="write the machine-readable report of the batch into this folder")
     p.add_argument("--format", dest="force_format", help="skip detection")
     p.add_argument("--pattern", action="append", dest="patterns", help="glob of names to take")
     p.add_argument("--exclude", action="append", help="glob of names or paths to leave out")
-    switches = {"stdout": "print the Markdown", "formats": "list formats and their readers", "overwrite": "replace files", "flat": "do not mirror the tree",
+    switches = {"stdout": "print the Markdown", "formats": "list formats and their readers", "overwrite": "replace files", "flat": "do not mirror the tree", "summary": "print the batch report",
                 "numbered-headings": "see headings in numbered lines", "report-json": "write diagnoses beside each file"}
     for name, meaning in switches.items():
         p.add_argument("--" + name, action="store_true", help=meaning)
@@ -54,28 +55,42 @@ def main(words: list[str] | None = None) -> int:
     spark = session(args.master)
     spark.sparkContext.setLogLevel("ERROR")
     made = None
+    out = os.path.abspath(args.out) if args.out else None
     for path in args.paths:
         root = os.path.abspath(path)
         base = root if os.path.isdir(root) else os.path.dirname(root)
-        out = os.path.abspath(args.out) if args.out else None
         found = walk(spark, root, patterns=args.patterns, exclude=args.exclude, output_dir=out)
-        named = found.withColumn("output", corpus.output_path(F.col("path"), out, base, options.mirror, options.suffix))
-        done = convert(read_contents(named, options.max_bytes).join(named.select("path", "output"), "path"), options)
+        named = found.withColumn("output", corpus.output_path(F.col("path"), out, base, options.mirror, options.suffix)).withColumn("skipped", F.lit(False))
+        # In a tree, sources whose output is there already are skipped: counted, not converted.
+        target = out or os.path.join(base, ".md")
+        there = walk(spark, target).select(F.col("path").alias("output")) if os.path.isdir(root) and os.path.isdir(target) and not args.overwrite else None
+        todo = named if there is None else corpus.not_yet(named, there)
+        done = convert(read_contents(todo, options.max_bytes).join(todo.select("path", "output", "skipped"), "path"), options)
+        if there is not None:
+            done = done.unionByName(corpus.skipped_rows(named.join(there, "output", "left_semi"), done.schema))
         made = done if made is None else made.unionByName(done)
     # Each row is converted once: the table is what files, counts and printing are made from.
     made = made.persist()
     if made.isEmpty():
         return 2
+    failed = 0
     if args.stdout:
         for row in assembled(made, options).select("markdown").toLocalIterator():
             print(row["markdown"], end="")
     elif args.table:
         corpus.write_corpus(made, args.table)
     else:
-        print("written:", corpus.write_files(assembled(made, options), options).count())
-    counts = corpus.rollup(made).first().asDict()
+        written = corpus.write_files(assembled(made.where("NOT skipped"), options), options).groupBy("written").count().collect()
+        failed = sum(r["count"] for r in written if not r["written"])
+        print("written:", sum(r["count"] for r in written if r["written"]))
+    if args.batch_report:
+        corpus.write_batch_report(made, args.batch_report)
+    if args.summary:
+        for row in corpus.report_text(made).orderBy("part", "at", "line").toLocalIterator():
+            print(row["line"])
+    counts = corpus.summary(made).first().asDict()
     print(counts, file=sys.stderr)
-    return int(any(counts[s] for s in BAD_STATUSES))
+    return int(bool(failed) or any(counts[s] for s in BAD_STATUSES))
 
 
 if __name__ == "__main__":

@@ -40,13 +40,17 @@ def escape_block_lines(text: Column) -> Column:
 
 
 def escape_structure(text: Column) -> Column:
-    """Blocks with three list items in a row keep their items; all other lines are escaped."""
+    """Blocks with three list items in a row keep their items; all other lines are escaped.
+
+    Whether a block is such a list is asked once a block, and the others are escaped whole, so
+    the work is linear in the text.
+    """
     blocks = F.split(text, r"\n\s*\n")
+    trimmed = lambda x: F.regexp_replace(x, r"(?md)[ \t\x0B\f\r]+$", "")
 
     def block(b: Column) -> Column:
-        real = b.rlike(_THREE_ITEMS)
-        line = lambda x: F.regexp_replace(F.when(real & x.rlike(_ITEM), x).otherwise(escape_block_lines(x)), r"\s+$", "")
-        return F.array_join(F.transform(_lines(b), line), "\n")
+        items = F.transform(_lines(b), lambda x: F.when(x.rlike(_ITEM), x).otherwise(escape_block_lines(x)))
+        return trimmed(F.when(b.rlike(_THREE_ITEMS), F.array_join(items, "\n")).otherwise(escape_block_lines(b)))
 
     return F.array_join(F.transform(blocks, block), "\n\n")
 

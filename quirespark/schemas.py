@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterable, Sequence
 from typing import Any
@@ -131,4 +132,5 @@ class Options:
         return cls(**{k: v for k, v in {**(values or {}), **more}.items() if k in DEFAULTS and v is not None})
 
     def as_dict(self) -> dict[str, Any]:
-        return dict(vars(self))
+        """All values by name; paths as text."""
+        return {k: os.fspath(v) if isinstance(v, os.PathLike) else v for k, v in vars(self).items()}

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,44 +56,67 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def walk(spark: SparkSession, root: str, *, recursive: bool = True, **filters) -> DataFrame:
+def walk(spark: SparkSession, root: str, *, recursive: bool = True, tasks: int | None = None, **filters) -> DataFrame:
     """path, name, length of a mounted tree's files, hidden ones included, in path order.
 
-    Folders are listed level by level on the executors, so that a wide tree is not listed by
-    the driver alone.
+    Folders are listed level by level on the executors: each level's folders are spread by a
+    hash over as many tasks as there are folders, ``tasks`` at most (four times the default
+    parallelism if not given). Folders and files that cannot be read are left out. A level is
+    kept by checkpoint() where the session has a checkpoint folder, and else persisted on disk.
     """
     root = os.path.abspath(root)
     if os.path.isfile(root):
         found = spark.createDataFrame([(root, os.path.basename(root), os.path.getsize(root))], "path string, name string, length bigint")
         return found
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, sizes, dirs = [], [], []
-            for folder in batch.column(0).to_pylist():
-                with os.scandir(folder) as entries:
-                    for e in entries:
-                        if e.is_dir(follow_symlinks=False):
-                            paths.append(e.path), sizes.append(0), dirs.append(True)
-                        elif e.is_file():
-                            paths.append(e.path), sizes.append(e.stat().st_size), dirs.append(False)
-            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(dirs, pa.bool_())], ["path", "length", "dir"])
-
-    level = spark.createDataFrame([(root,)], "path string")
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    shared = spark.sparkContext.getCheckpointDir() is not None
+    here = _listing(spark.createDataFrame([(root,)], "path string"), shared)
     found = []
     skip = sorted(SKIPPED | set(filters.get("skip_dirs") or ()))
     while True:
-        here = level.mapInArrow(listed, "path string, length bigint, dir boolean").cache()
         found.append(here.where("NOT dir").select("path", "length"))
         level = here.where("dir").where(~name_of(F.col("path")).isin(*skip)).select("path")
-        if not recursive or level.isEmpty():
+        folders = level.count() if recursive else 0
+        if not folders:
             break
+        # A number of its own, so that adaptive execution does not fold the small rows into one task.
+        here = _listing(level.repartition(min(folders, tasks), "path"), shared)
     out = found[0]
     for part in found[1:]:
         out = out.unionAll(part)
     return out.where(admitted(F.col("path"), root=root, **filters)).select("path", name_of(F.col("path")).alias("name"), "length").orderBy(F.lower("path"))
 
 
+def _listing(folders: DataFrame, shared: bool) -> DataFrame:
+    """path, length, dir, task of all entries of ``folders``, kept for the next level."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            rows = [entry for folder in batch.column(0).to_pylist() for entry in _entries(folder)]
+            kinds = [("path", pa.string()), ("length", pa.int64()), ("dir", pa.bool_())]
+            columns = [pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]
+            yield pa.record_batch([*columns, pa.array([task] * len(rows), pa.int32())], [*[n for n, _ in kinds], "task"])
+
+    made = folders.mapInArrow(listed, "path string, length bigint, dir boolean, task int")
+    return made.checkpoint() if shared else made.persist(StorageLevel.DISK_ONLY)
+
+
+def _entries(folder: str) -> Iterator[tuple[str, int, bool]]:
+    try:
+        with os.scandir(folder) as entries:
+            for e in entries:
+                try:
+                    if e.is_dir(follow_symlinks=False):
+                        yield e.path, 0, True
+                    elif e.is_file():
+                        yield e.path, e.stat().st_size, False
+                except OSError:
+                    continue
+    except OSError:
+        return
+
+
 def read_contents(paths: DataFrame, max_bytes: int | None = 512 << 20) -> DataFrame:
     """path, name, length, content; content is null where a file is over the limit or gone."""
 

@@ -19,7 +19,7 @@ from quirespark.plans import corpus
 from quirespark.plans.convert import assembled, convert
 from quirespark.queries import QUERIES
 from quirespark.schemas import Options
-from quirespark.sources.files import binary_files, glob_regex, read_contents, walk
+from quirespark.sources.files import _listing, binary_files, glob_regex, read_contents, walk
 from quirespark.streaming.incremental import arriving, convert_stream, once_each
 
 SF = "/root/testdata/sf0.001"
@@ -106,6 +106,62 @@ def test_writing(spark, tree, tmp_path):
     assert zipfile.ZipFile(io.BytesIO(blob)).namelist() == ["a.md"]
 
 
+def _assets(spark, tmp_path, rows):
+    made = [(n, f"{tmp_path}/{n}.md", f"see ![x](assets/{a})\n", [(a, d, "image/png", "")], "ok") for n, a, d in rows]
+    kind = "name string, output string, markdown string, assets array<struct<filename:string,data:binary,media_type:string,origin:string>>, status string"
+    return (
+        spark.createDataFrame(made, kind).withColumn("format", F.struct(F.lit("docx").alias("key"), F.lit("m").alias("media_type"), F.lit("content").alias("confidence")))
+        .withColumns({"converter": F.lit("c"), "elapsed_ms": F.lit(1.0), "warnings": F.array().cast("array<string>"), "error": F.lit(None).cast("string"),
+                      "meta": F.create_map(F.lit("k"), F.lit("v"))})
+    )
+
+
+def test_assets_of_one_folder_keep_their_bytes_and_links(spark, tmp_path):
+    """Two documents with pictures of one name: both are there, and each text links to its own."""
+    rows = [("a", "image1.png", b"one"), ("b", "image1.png", b"two"), ("c", "copy.png", b"one"), ("d", "other.png", b"four")]
+    df = _assets(spark, tmp_path / "o", rows)
+    for _ in range(2):  # a second run over the same files writes the same
+        done = {r["output"]: r for r in corpus.write_files(df, Options.of(overwrite=True, report_json=True)).collect()}
+        assert len(done) == 4 and all(r["written"] and r["status"] == "ok" for r in done.values())
+        for name, _, data in rows:
+            text = (tmp_path / f"o/{name}.md").read_text()
+            assert (tmp_path / "o" / text.split("(")[1].split(")")[0]).read_bytes() == data
+        assert len(os.listdir(tmp_path / "o/assets")) == 3
+    facts = json.load(open(tmp_path / "o/a.md.json"))
+    assert set(facts) == set("source format media_type detected_by converter status output assets elapsed_ms skipped warnings meta error".split())
+    assert facts["meta"] == {"k": "v"} and facts["assets"] == [f"{tmp_path}/o/assets/image1.png"] and facts["source"] == "a"
+    # Later batches leave the files of earlier ones alone.
+    corpus.write_files(_assets(spark, tmp_path / "o", [("e", "image1.png", b"five")]), Options.of()).collect()
+    text = (tmp_path / "o/e.md").read_text()
+    assert (tmp_path / "o/assets/image1.png").read_bytes() == b"one" and (tmp_path / "o" / text.split("(")[1].split(")")[0]).read_bytes() == b"five"
+
+
+def test_a_row_that_cannot_be_written_is_told_and_the_others_go_on(spark, tmp_path):
+    (tmp_path / "file").write_text("not a folder")
+    df = _assets(spark, tmp_path, [("file/x", "p.png", b"1"), ("ok", "p.png", b"2")])
+    rows = {r["written"]: r for r in corpus.write_files(df, Options.of()).collect()}
+    assert rows[True]["output"] == f"{tmp_path}/ok.md" and rows[False]["status"] == "failed" and rows[False]["error"].startswith("write-failed")
+
+
+def test_batch_reports(spark, tree, tmp_path):
+    made = convert(read_contents(walk(spark, str(tree))))
+    lines = [r["line"] for r in corpus.report_text(made).orderBy("part", "at").collect()]
+    assert lines[0].startswith("| File |") and lines[-1] == "6 files: 4 clean, 0 with warnings, 2 empty, 0 failed, 0 skipped." and len(lines) == 9
+    corpus.write_batch_report(made, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/summary")).first()["total"] == 6
+    assert set(spark.read.json(str(tmp_path / "r/results")).columns) >= {"source", "detected_by", "warnings", "skipped"}
+
+
+def test_walk_lists_folders_in_many_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}/f.txt").write_text("x")
+    (tmp_path / "d0/gone").symlink_to(tmp_path / "nowhere")
+    level = spark.createDataFrame([(f"{tmp_path}/d{i}",) for i in range(40)] + [(f"{tmp_path}/missing",)], "path string")
+    assert _listing(level.repartition(16, "path"), False).select("task").distinct().count() > 8
+    assert walk(spark, str(tmp_path), tasks=16).count() == 40
+
+
 def test_stream(spark, tree, tmp_path):
     seen = []
     files = once_each(arriving(spark, str(tree), glob="*.txt"))
@@ -134,6 +190,10 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert main([str(tree), "--out", str(tmp_path / "o"), "--pattern", "*.txt", "--no-report"]) == 0
     assert (tmp_path / "o/b/a.md").exists() and "# Title" in (tmp_path / "o/a.md").read_text()
     assert main([str(tree / "blob.bin"), "--stdout"]) == 1
+    (tree / "new.txt").write_text("new")
+    assert main([str(tree), "--out", str(tmp_path / "o"), "--pattern", "*.txt", "--summary", "--batch-report", str(tmp_path / "r")]) == 0
+    said = capsys.readouterr().out
+    assert "written: 1" in said and "3 files: 1 clean, 0 with warnings, 0 empty, 0 failed, 2 skipped." in said and len(os.listdir(tmp_path / "o")) == 3
 
 
 @pytest.fixture(scope="module")
