@@ -11,10 +11,12 @@ keeps its former bins when packing again saves none.
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,31 +28,59 @@ from pyspark.sql import functions as F
 from quirespark.llm._common import materialise, release
 
 POOL = 100_000
-ROUNDS = 4
 
 
-class ByteBPE:
-    """Token ids as packed little-endian 32-bit words, as byte_bpe_50k.json gives them.
+#: White space runs beyond this are left to the tokenizers library: tiktoken's pattern recurses on them.
+LONG_GAP = 10_000
+
+
+def _byte_values() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printable ones themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
 
-    A boundary between a non-space and a single space always ends a token there, so a text is
-    cut at its spaces and each piece's ids are looked up or made once. Texts with runs of
-    white space are encoded whole. At most ``room`` pieces are remembered, the first seen.
+class ByteBPE:
+    """Token ids as packed little-endian 32-bit words, as tokenizers gives them for a byte-level
+    BPE file without a prefix space: encode(text, add_special_tokens=False).
+
+    Added tokens (``<|endoftext|>``) are taken out of a text first, as that call does. What is
+    between them is made with tiktoken from the same file's vocabulary: a boundary between a
+    non-space and a single space always ends a token there, so a text is cut at its spaces and
+    each piece's ids are looked up or made once. Texts with runs of white space are encoded
+    whole, and those with very long runs by tokenizers. At most ``room`` pieces are remembered,
+    the first seen.
     """
 
-    def __init__(self, ranks_path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 300_000):
         import public_tokenizers
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        byte, self._path, self._exact = _byte_values(), path, None
+        self._added = {t["content"]: self._pack([t["id"]]) for t in found["added_tokens"]}
+        self._split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self._added, key=len, reverse=True)) + ")") if self._added else None
+        ranks = {bytes(byte[c] for c in token): n for token, n in found["model"]["vocab"].items() if token not in self._added}
         made = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._whole, self._one = made.encode_ordinary, made._core_bpe.encode_single_piece
+        self._ordinary, self._one = made.encode_ordinary, made._core_bpe.encode_single_piece
+        self._gap = re.compile(rf"\s{{{LONG_GAP}}}")
         self._room, self._known = room, {}
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _whole(self, text: str) -> list[int]:
+        if len(text) >= LONG_GAP and self._gap.search(text):
+            if self._exact is None:
+                from tokenizers import Tokenizer
+
+                self._exact = Tokenizer.from_file(self._path)
+            return self._exact.encode(text, add_special_tokens=False).ids
+        return self._ordinary(text)
+
     def _make(self, word: str) -> bytes:
         """Ids of a space and ``word``."""
         core = word.rstrip(".,")
@@ -65,11 +95,11 @@ class ByteBPE:
             made = known + self._pack(self._one(word[len(core) :].encode()))
         else:
             made = self._pack(self._whole(" " + word))
-        if len(self._known) < self._room:
+        if len(self._known) < self._room and len(word) < 64:
             self._known[word] = made
         return made
 
-    def __call__(self, text: str) -> bytes:
+    def _plain(self, text: str) -> bytes:
         words = text.split(" ")
         if not all(words) or any(gap in text for gap in ("\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x85 ", "\xa0 ")) or (
             not text.isascii() and any(w[-1].isspace() for w in words)
@@ -78,8 +108,19 @@ class ByteBPE:
         get, make = self._known.get, self._make
         return b"".join([self._pack(self._whole(words[0]))] + [get(w) or make(w) for w in words[1:]])
 
+    def __call__(self, text: str) -> bytes:
+        if self._split is None or not any(t in text for t in self._added):
+            return self._plain(text)
+        return b"".join(self._added.get(part) or self._plain(part) for part in self._split.split(text) if part)
+
+
+@cache
+def encoder(path: str) -> ByteBPE:
+    """One encoder a worker process: later tasks of the same worker find its words made."""
+    return ByteBPE(path)
+
 
-def pieces(docs: DataFrame, ranks_path: str, limit: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, limit: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, uid): what each document is cut into.
 
     Null text is an empty one and gives one piece that holds the end token alone. uid numbers
@@ -88,7 +129,7 @@ def pieces(docs: DataFrame, ranks_path: str, limit: int = 1024, end: int = 2, id
     ids = docs.schema[id_col].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, close = ByteBPE(ranks_path), struct.pack("<I", end)
+        encode, close = encoder(tokenizer), struct.pack("<I", end)
         at = TaskContext.get().partitionId() << 36
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
@@ -159,7 +200,7 @@ def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, i
     return where, offset, used
 
 
-_COLUMNS = "piece int, start long, length long, ids_crc32 long, uid long, sequence_id long, offset long, gap boolean, fill long, emptiest boolean"
+_COLUMNS = "piece int, start long, length long, ids_crc32 long, uid long, sequence_id long, offset long, certified boolean, fill long, emptiest boolean"
 
 
 def _pack_pool(limit: int, code: int):
@@ -172,57 +213,58 @@ def _pack_pool(limit: int, code: int):
         old = rows["sequence_id"].nunique() if code else used + 1
         bound = lower_bound(np.bincount(n, minlength=limit + 1), limit)
         if used < old:
-            sequence, bins = (code << 58) + (int(key[0]) << 26) + where, used
+            sequence, bins = (code << 48) + (int(key[0]) << 20) + where, used
             rows["sequence_id"], rows["offset"] = sequence, offset
         else:
             where, bins = pd.factorize(rows["sequence_id"])[0], old
         fill = np.bincount(where, n, bins).astype(np.int64)
-        rows["gap"], rows["fill"] = bins > bound, fill[where]
+        rows["certified"], rows["fill"] = bins == bound, fill[where]
         rows["emptiest"] = where == int(fill.argmin())
-        return rows[["id", "piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset", "gap", "fill", "emptiest"]]
+        return rows[["id", "piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset", "certified", "fill", "emptiest"]]
 
     return pack
 
 
 def pack_documents(
-    docs: DataFrame, ranks_path: str, limit: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text",
-    pool: int = POOL, rounds: int = ROUNDS,
+    docs: DataFrame, tokenizer: str, limit: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text", pool: int = POOL,
 ) -> DataFrame:
     """Pieces of all documents with the sequence and the offset that each is packed at.
 
-    Null and empty texts are one piece (the end token). Repeated rows and null ids are packed
-    like any others. An empty table gives an empty result. Other columns are not read. A pool
-    holds about ``pool`` rows of nine numbers, whatever the size of the input.
+    certified tells whether the pool that packed a piece last met its lower bound, so that no
+    packing of that pool's pieces has fewer sequences; a full piece is a sequence of its own.
+    Rounds go on until one saves no sequence: how many there are, and how many pools, follows
+    from the pieces alone, not from the cluster.
+
+    Null and empty texts are one piece (the end token). Very long texts are one row's work and
+    any number of pieces. Repeated rows and null ids are packed like any others; pieces of equal
+    length go in the order of the scan. An empty table gives an empty result. Other columns are
+    not read, whatever their names. A pool holds about ``pool`` rows of eleven numbers, whatever
+    the size of the input.
     """
-    cut = materialise(pieces(docs, ranks_path, limit, end, id_col, text_col), "pieces")
+    cut = materialise(pieces(docs, tokenizer, limit, end, id_col, text_col), "pieces")
     ids = cut.schema["id"].dataType.simpleString()
-    full = cut.where(F.col("length") == limit).withColumns({"sequence_id": -F.col("uid") - 1, "offset": F.lit(0).cast("long")})
-    small = cut.where(F.col("length") < limit).withColumns({"sequence_id": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long")})
-    keep = ["id", "piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset"]
-    done = [full.select(keep)]
-    move = small.select(keep)
-    # At least a few pools, so that every core packs; each round's are dealt anew by number.
-    waiting, wide = move.count(), docs.sparkSession.sparkContext.defaultParallelism
-    for code in range(rounds):
-        if not waiting:
-            break
-        pools = max(-(-waiting // pool), min(wide, waiting // 5000, 64) if code == 0 else 1, 1)
+    placed = lambda c: {"sequence_id": c, "offset": F.lit(0).cast("long"), "certified": F.lit(True)}
+    full = cut.where(F.col("length") == limit).withColumns(placed(-F.col("uid") - 1))
+    small = cut.where(F.col("length") < limit).withColumns(placed(F.lit(-1).cast("long")))
+    keep = ["id", "piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset", "certified"]
+    done, move, code = [full.select(keep)], small.select(keep), 0
+    waiting, before = move.count(), None
+    while waiting:
+        pools = -(-waiting // pool)
         packed = materialise(
-            move.withColumn("pool", F.pmod(F.xxhash64("uid", F.lit(code)), F.lit(pools))).groupBy("pool")
+            move.drop("certified").withColumn("pool", F.pmod(F.xxhash64("uid", F.lit(code)), F.lit(pools))).groupBy("pool")
             .applyInPandas(_pack_pool(limit, code), f"id {ids}, {_COLUMNS}"),
             f"packed{code}",
         )
-        again = (F.col("gap") & (F.col("fill") < limit)) | (F.col("emptiest") & (F.col("fill") < limit))
-        if code == rounds - 1 or (pools == 1 and packed.where("gap").isEmpty()):
-            again = F.lit(False)
-        done.append(packed.where(~again).select(keep))
-        move = packed.where(again).select(keep)
-        left = move.count()
-        if left == waiting and pools == 1:
-            done.append(move)
+        again, head = (F.col("fill") < limit) & (~F.col("certified") | F.col("emptiest")), F.col("offset") == 0
+        bins, waiting, left = packed.agg(F.count_if(head), F.count_if(again), F.count_if(again & head)).first()
+        # One pool has nobody to exchange with.
+        if pools == 1 or not waiting or (before is not None and bins >= before):
+            done.append(packed.select(keep))
             break
-        waiting = left
+        done.append(packed.where(~again).select(keep))
+        move, before, code = packed.where(again).select(keep), left, code + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionAll(part)
-    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")

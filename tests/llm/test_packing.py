@@ -13,25 +13,37 @@ from tokenizers import Tokenizer
 from quirespark.llm.packing import ByteBPE, best_fit, lower_bound, pack_documents
 from tests.llm.helpers import DOCS, awkward, clash
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return Tokenizer.from_file(JSON)
 
 
 def ids_of(tokenizer, text):
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab cdé'.,s!  \n\t 漢1-_\x85 "), max_size=60))
-def test_tokens_are_the_tokenizers(text):
-    fast, whole = ByteBPE(RANKS), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+def same(text, fast=ByteBPE(JSON), whole=Tokenizer.from_file(JSON)):
     ids = whole.encode(text, add_special_tokens=False).ids
-    assert fast(text) == struct.pack(f"<{len(ids)}I", *ids)
+    return fast(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet=st.sampled_from("ab cdé'.,s!  \n\t 漢1-_\x85 "), max_size=30), st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " "]))))
+def test_tokens_are_the_tokenizers(parts):
+    assert same("".join(parts))
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", " \n", "\t", "\u3000", "a", "ab", "漢", "x ", "<|endoftext|>"])
+def test_tokens_of_a_million_signs(sign):
+    assert same(sign * (1_000_000 // len(sign) // (4 if sign == "漢" else 1)))
+    assert same("word" + sign * 20_000 + "<|endoftext|>" + sign * 20_000 + "end")
+
+
+def test_added_token_is_one_id():
+    assert ByteBPE(JSON)("<|endoftext|> hi") == struct.pack("<2I", 50256, 23105)
 
 
 def check(rows, docs, tokenizer, limit=1024):
@@ -61,7 +73,7 @@ def check(rows, docs, tokenizer, limit=1024):
 
 def test_round_trip_of_awkward_rows(spark, tokenizer):
     docs = awkward()
-    rows = pack_documents(clash(spark.createDataFrame(docs, DOCS)), RANKS).collect()
+    rows = pack_documents(clash(spark.createDataFrame(docs, DOCS)), JSON).collect()
     used = check(rows, docs, tokenizer)
     assert used == -(-sum(r["length"] for r in rows) // 1024)
 
@@ -69,15 +81,26 @@ def test_round_trip_of_awkward_rows(spark, tokenizer):
 def test_pools_exchange_until_certified(spark, tokenizer):
     docs = [(i, "word " * (i * 37 % 700), None, None, None) for i in range(400)]
     df = spark.createDataFrame(docs, DOCS)
-    rows = pack_documents(df, RANKS, pool=60).collect()
+    rows = pack_documents(df, JSON, pool=60).collect()
     used = check(rows, docs, tokenizer)
     lengths = np.array([r["length"] for r in rows])
     bound = lower_bound(np.bincount(lengths, minlength=1025), 1024)
     assert bound <= used <= bound + 2
+    assert any(r["certified"] for r in rows)
+
+
+def test_packing_does_not_depend_on_the_cluster(spark, tokenizer):
+    docs = spark.createDataFrame([(i, "word " * (i * 37 % 700), None, None, None) for i in range(300)], DOCS).coalesce(1)
+    lists = []
+    for n in ("2", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        lists.append(sorted(map(tuple, pack_documents(docs, JSON, pool=50).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert lists[0] == lists[1]
 
 
 def test_empty_table(spark):
-    assert pack_documents(spark.createDataFrame([], DOCS), RANKS).count() == 0
+    assert pack_documents(spark.createDataFrame([], DOCS), JSON).count() == 0
 
 
 def test_bounds_never_exceed_the_optimum():
