@@ -24,6 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def named(column: str) -> F.Column:
+    """The column of exactly that name, dots and back quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column in ``taken`` is called so."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

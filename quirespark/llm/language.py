@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quirespark.llm._common import materialise
+from quirespark.llm._common import fresh, materialise, named
 from quirespark.llm.quality import fold
 
 UNKNOWN = "und"
@@ -133,33 +134,43 @@ def fit_languages(
     return LanguageProfiles.build([(r["lang"], r["gram"], r["place"]) for r in top.select("lang", "gram", "place").collect()], size)
 
 
-def identify_languages(
-    docs: DataFrame, profiles: LanguageProfiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
-) -> DataFrame:
-    """A row a row of ``docs``: the columns ``keep`` (the id if not given), held_out, lang_pred, score.
-
-    ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
-    Equal distances go to the language that sorts first. Repeated rows give repeated rows,
-    an empty table an empty result.
-    """
-    keep = keep or [id_col]
+def _identified(docs: DataFrame, profiles: LanguageProfiles, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """Columns k0, k1 ... (those of ``keep``), held_out, lang_pred, score."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
+    names = [f"k{i}" for i in range(len(keep))]
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             made = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                [*names, "p_lang", "p_score"],
+                [*names, "held_out", "lang_pred", "score"],
             )
 
-    names = [f"c{i}" for i in range(len(keep))]
-    types = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))
-    made = docs.select(*[F.col(c).alias(n) for n, c in zip(names, keep)], F.col(text_col).cast("string").alias("_text")).mapInArrow(
-        named, f"{types}, p_lang string, p_score double"
-    )
-    made = made.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "p_lang", "p_score")
+    held_out = F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out")
+    rows = docs.select(*[named(c).alias(n) for n, c in zip(names, keep)], held_out, named(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(predict, StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
+def identify_languages(
+    docs: DataFrame, profiles: LanguageProfiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """A row a row of ``docs``: the columns ``keep`` (the id if not given), held_out, lang_pred, score.
+
+    ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
+    Equal distances go to the language that sorts first. Very long texts are read whole.
+    Repeated rows give repeated rows, an empty table an empty result. A result column that has
+    the name of a kept one gets an underscore behind it; columns that are not kept are not read.
+    """
+    keep = keep or [id_col]
+    made = _identified(docs, profiles, id_col, text_col, keep)
     return made.select(
-        *keep, F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"), F.col("p_lang").alias("lang_pred"), F.col("p_score").alias("score")
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(fresh(c, keep)) for c in ("held_out", "lang_pred", "score")]
     )
+
+
+def keep_named(docs: DataFrame, profiles: LanguageProfiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is a learned one, with all their columns."""
+    made = _identified(docs, profiles, id_col, text_col, docs.columns).where(F.col("lang_pred") != UNKNOWN)
+    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

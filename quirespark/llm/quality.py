@@ -11,6 +11,7 @@ with weights that grow with their cosine.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from quirespark.llm._common import fresh, named
 
 TRIGRAMS, SHAPES, BINS, STATS = 4096, 1024, 12, 8
 #: Words are looked for again within so many, so that long texts don't seem repetitive.
@@ -97,6 +101,16 @@ class QualityModel:
         axes = (a.T @ (left / np.sqrt(values))).astype(np.float32)
         return cls(weight, axes, cls._unit(a @ axes), labels.astype(np.float64), min(neighbours, len(labels)), sharpness)
 
+    def _nearest(self, near: np.ndarray) -> np.ndarray:
+        """Columns of the largest values of each row; among equal ones the first."""
+        k = self.neighbours
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        kth = np.take_along_axis(near, best, 1).min(1, keepdims=True)
+        tied = np.flatnonzero((near >= kth).sum(1) > k)
+        if len(tied):
+            best[tied] = np.argsort(-near[tied], axis=1, kind="stable")[:, :k]
+        return best
+
     def score(self, found: np.ndarray, block: int = 8192) -> np.ndarray:
         """Exact cosines with every labelled vector, block by block, keeping the nearest."""
         mine = self._unit(self._unit(found * self.weight) @ self.axes)
@@ -106,7 +120,7 @@ class QualityModel:
             cosine = mine @ self.vectors[at : at + block].T
             near = np.concatenate([near, cosine], axis=1)
             vote = np.concatenate([vote, np.broadcast_to(self.labels[at : at + block], cosine.shape)], axis=1)
-            best = np.argpartition(-near, self.neighbours - 1, axis=1)[:, : self.neighbours]
+            best = self._nearest(near)
             near, vote = np.take_along_axis(near, best, 1), np.take_along_axis(vote, best, 1)
         pull = np.exp(self.sharpness * (near.astype(np.float64) - near.max(1, keepdims=True)))
         return np.clip((pull * vote).sum(1) / pull.sum(1), 0.0, 1.0)
@@ -119,8 +133,10 @@ def fold(id_col: str) -> F.Column:
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [terms(t.as_py()).astype(np.float16).tobytes() for t in batch.column(0)]
-        yield pa.record_batch([pa.array(rows, pa.binary()), batch.column(1)], ["terms", "label"])
+        raw = [(t.as_py() or "") for t in batch.column(0)]
+        sums = pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in raw], pa.int64())
+        rows = pa.array([terms(t).astype(np.float16).tobytes() for t in raw], pa.binary())
+        yield pa.record_batch([rows, sums, *batch.columns[1:]], ["terms", "crc", "label", "h", "id"])
 
 
 def fit_quality(
@@ -129,9 +145,11 @@ def fit_quality(
 ) -> QualityModel | None:
     """Fit on at most ``sample`` labelled rows, those of the smallest hash of the id.
 
-    Their terms are gathered in half precision: ``sample`` times 10 KB, at any corpus size.
+    Texts become terms, in half precision, where they are read; the terms are what is sorted
+    and gathered: ``sample`` times 10 KB, at any corpus size and whatever a text's length.
     Rows of the held-out fold, null ids and null labels are left out; an id labelled more
-    than once counts with the mean. None if nothing is left to learn from.
+    than once counts with the mean, and rows of one id go in the order of their text's
+    checksum. None if nothing is left to learn from.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 2))
@@ -141,7 +159,8 @@ def fit_quality(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # At most ``sample`` rows of two numbers are broadcast.
     learned = texts.join(F.broadcast(chosen), "id").select("text", "label", F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("id"))
-    rows = learned.orderBy("h", "id", "text").limit(sample).select("text", "label").mapInArrow(_terms_of, "terms binary, label double").collect()
+    made = learned.mapInArrow(_terms_of, "terms binary, crc long, label double, h long, id string")
+    rows = made.orderBy("h", "id", "crc").limit(sample).select("terms", "label").collect()
     if not rows:
         return None
     found, y = np.stack([np.frombuffer(r["terms"], np.float16) for r in rows]), np.array([r["label"] for r in rows])
@@ -149,18 +168,10 @@ def fit_quality(
     return QualityModel.fit(found, y, rank, neighbours, sharpness)
 
 
-def score_quality(
-    docs: DataFrame, model: QualityModel | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text",
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """A row a row of ``docs``: the columns ``keep`` (the id if not given), held_out, score, predicted.
-
-    Only the text is scored. A null text is scored as an empty one, and both get the vote of
-    the vectors nearest to the origin's bins. Without a model every score is 0.5. Repeated
-    rows give repeated rows, an empty table an empty result.
-    """
-    keep = keep or [id_col]
+def _voted(docs: DataFrame, model: QualityModel | None, threshold: float, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """Columns k0, k1 ... (those of ``keep``), held_out, score, predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"k{i}" for i in range(len(keep))]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -171,15 +182,35 @@ def score_quality(
                 for at in range(0, len(texts), 256):
                     part = texts[at : at + 256]
                     score[at : at + 256] = model.score(np.stack([terms(t.as_py()) for t in part]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*names, "held_out", "score"])
+
+    held_out = F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out")
+    rows = docs.select(*[named(c).alias(n) for n, c in zip(names, keep)], held_out, named(text_col).cast("string").alias("text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())])
+    return rows.mapInArrow(vote, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
 
-    names = [f"c{i}" for i in range(len(keep))]
-    types = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))
-    scored = docs.select(*[F.col(c).alias(n) for n, c in zip(names, keep)], F.col(text_col).cast("string").alias("_text")).mapInArrow(
-        vote, f"{types}, score double"
+def score_quality(
+    docs: DataFrame, model: QualityModel | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """A row a row of ``docs``: the columns ``keep`` (the id if not given), held_out, score, predicted.
+
+    Only the text is scored; equal texts have equal scores, but for the rounding of 32-bit sums. A null text is scored as an empty
+    one: it has none of the n-grams, and the vectors that it is nearest to are those of texts
+    with the fewest marks and repeats. Very long texts are read whole. Among equal cosines the
+    neighbour that was learned first counts. Without a model every score is 0.5. Repeated rows
+    give repeated rows, an empty table an empty result. A result column that has the name of a
+    kept one gets an underscore behind it; columns that are not kept are not read.
+    """
+    keep = keep or [id_col]
+    made = _voted(docs, model, threshold, id_col, text_col, keep)
+    return made.select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(fresh(c, keep)) for c in ("held_out", "score", "predicted")]
     )
-    scored = scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], F.col("score").alias("__score"))
-    return scored.select(
-        *keep, F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
-        (F.col("__score") >= threshold).cast("int").alias("predicted"),
-    )
+
+
+def keep_quality(docs: DataFrame, model: QualityModel | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted to be of quality 1, with all their columns."""
+    made = _voted(docs, model, threshold, id_col, text_col, docs.columns).where("predicted = 1")
+    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

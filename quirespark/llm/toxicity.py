@@ -1,9 +1,9 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted in a fixed order. Each one's model reads which words and word
-beginnings a text holds (hashed), and the log odds that the models before it gave. Those are
-out-of-fold when the chain is trained: a row's log odds come from models that did not see it,
-so that a later model learns how far an earlier one can be trusted on new texts.
+beginnings a text holds (hashed), and the probabilities that the models before it gave. Those
+are out-of-fold when the chain is trained: a row's probabilities come from models that did not
+see it, so that a later model learns how far an earlier one can be trusted on new texts.
 """
 
 from __future__ import annotations
@@ -64,6 +64,9 @@ class Linear:
     def log_odds(self, rows: Rows, earlier: np.ndarray) -> np.ndarray:
         return np.clip(rows.sums(self.weights) + earlier @ self.earlier + self.bias, -30, 30)
 
+    def probability(self, rows: Rows, earlier: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.log_odds(rows, earlier)))
+
     @classmethod
     def fit(cls, rows: Rows, earlier: np.ndarray, y: np.ndarray, keep: int, rounds: int = 80, ridge: float = 2e-4) -> Linear:
         """Logistic regression on the ``keep`` features that tell the classes apart best."""
@@ -114,7 +117,7 @@ class Chain:
             for f in np.unique(folds):
                 learn, test = np.flatnonzero(known & (folds != f)), np.flatnonzero(folds == f)
                 part = Linear.fit(rows.take(learn), earlier[learn], y[learn], keep)
-                out[test] = part.log_odds(rows.take(test), earlier[test])
+                out[test] = part.probability(rows.take(test), earlier[test])
             learn = np.flatnonzero(known)
             models.append(Linear.fit(rows.take(learn), earlier[learn], y[learn], keep))
             earlier = np.c_[earlier, out]
@@ -124,14 +127,15 @@ class Chain:
         """Probabilities, rows x categories."""
         earlier = np.zeros((len(rows.starts) - 1, 0))
         for model in self.models:
-            earlier = np.c_[earlier, model.log_odds(rows, earlier)]
-        return 1 / (1 + np.exp(-earlier))
+            earlier = np.c_[earlier, model.probability(rows, earlier)]
+        return earlier
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())
-        yield pa.record_batch([made, *batch.columns[1:]], ["features", "h", *[f"y{i}" for i in range(batch.num_columns - 2)]])
+        raw = [features(t.as_py()).tobytes() for t in batch.column(0)]
+        sums = pa.array([zlib.crc32(r) for r in raw], pa.int64())
+        yield pa.record_batch([pa.array(raw, pa.binary()), sums, *batch.columns[1:]], ["features", "crc", "h", *[f"y{i}" for i in range(batch.num_columns - 2)]])
 
 
 def fit_toxicity(
@@ -141,8 +145,10 @@ def fit_toxicity(
     """Fit on at most ``sample`` labelled rows, those of the smallest hash of the id.
 
     ``categories`` names each category, in the chain's order, and its 0/1 label as SQL over
-    ``labels``. Rows of the held-out fold and null ids are left out; of an id labelled more
-    than once the mean is rounded. None if nothing is left to learn from.
+    ``labels``. Texts become features where they are read: what is sorted and gathered is four
+    bytes a distinct word or beginning. Rows of the held-out fold and null ids are left out; of
+    an id labelled more than once the mean is rounded, and rows of one id go in the order of
+    their features' checksum. None if nothing is left to learn from.
     """
     names = list(categories)
     chosen = (
@@ -155,8 +161,9 @@ def fit_toxicity(
     learned = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     ys = [f"y{i}" for i in range(len(names))]
     rows = (
-        learned.select("text", F.xxhash64("id").alias("h"), *ys).orderBy("h", "text").limit(sample)
-        .mapInArrow(_features_of, "features binary, h long, " + ", ".join(f"{y} double" for y in ys)).collect()
+        learned.select("text", F.xxhash64("id").alias("h"), *ys)
+        .mapInArrow(_features_of, "features binary, crc long, h long, " + ", ".join(f"{y} double" for y in ys))
+        .orderBy("h", "crc").limit(sample).collect()
     )
     if not rows:
         return None
@@ -169,8 +176,9 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.4,
     """id, held_out, a probability p_<category> each, and predicted (1 if the last category's
     reaches the threshold).
 
-    Null texts are empty ones and get the probability of a text without any known word.
-    Without a model there are no p_ columns and predicted is 0. Repeated rows give repeated
+    Null texts are empty ones and get the probability of a text without any known word. Very
+    long texts are read whole, and a word counts once however often it is there; equal texts
+    have equal probabilities, and one that equals the threshold is predicted. Without a model there are no p_ columns and predicted is 0. Repeated rows give repeated
     rows, an empty table an empty result; other columns are not read.
     """
     names = [] if chain is None else chain.categories
