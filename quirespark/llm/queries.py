@@ -19,9 +19,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirespark.llm.mixing import mix_sources
+    from quirespark.llm.mixing import by_length, mix_sources
 
-    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(_table(spark, sf_dir, "documents"), importance=by_length(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_lm_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,8 @@ QUERIES = {
 
 _OP2 = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT *, CASE WHEN size < 50 THEN 0.5::DOUBLE WHEN size < 500 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
+  FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents)
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS weight
@@ -98,22 +99,32 @@ WITH sized AS (
 ), limits AS (
   SELECT *, source_size * 3.0::DOUBLE AS lim, source_size * 3.0::DOUBLE / weight AS level FROM sources
 ), shares AS (
-  SELECT *, ((SELECT sum(source_size) FROM sources)::DOUBLE - coalesce(sum(lim) OVER w, 0.0::DOUBLE))
-            / ((SELECT sum(weight) FROM sources) - coalesce(sum(weight) OVER w, 0.0::DOUBLE)) AS share
-  FROM limits WINDOW w AS (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, ((SELECT sum(source_size) FROM sources)::DOUBLE - coalesce(sum(lim) OVER v, 0.0::DOUBLE))
+            / ((SELECT sum(weight) FROM sources) - coalesce(sum(weight) OVER v, 0.0::DOUBLE)) AS share
+  FROM limits WINDOW v AS (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), common AS (
   SELECT arg_min(share, level) AS t FROM shares WHERE share < level
 ), targets AS (
   SELECT source, source_size,
          CASE WHEN t IS NULL THEN lim ELSE least(lim, t * weight) END AS target
   FROM limits CROSS JOIN common
-), plan AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS expected FROM targets
+), classes AS (
+  SELECT source, w, coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+         sum(words * w) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass
+  FROM (SELECT source, w, sum(size)::BIGINT AS words FROM sized GROUP BY source, w)
+), ratios AS (
+  SELECT t.source, t.source_size, t.target, arg_max(r, w) FILTER (WHERE r * w < 3) AS ratio
+  FROM (SELECT t.*, c.w, CASE WHEN c.mass > 0 THEN (t.target - 3.0::DOUBLE * c.above) / c.mass END AS r
+        FROM targets t LEFT JOIN classes c ON t.source IS NOT DISTINCT FROM c.source) t
+  GROUP BY ALL
+), hoped AS (
+  SELECT d.doc_id, d.size, p.source, p.source_size, p.target, CASE WHEN p.ratio IS NULL THEN 3.0::DOUBLE ELSE least(p.ratio * d.w, 3.0::DOUBLE) END AS expected
+  FROM sized d JOIN ratios p ON d.source IS NOT DISTINCT FROM p.source
 ), drawn AS (
-  SELECT d.doc_id, d.size, p.source, p.source_size, p.target, floor(p.expected) AS certain, p.expected - floor(p.expected) AS rest,
-         p.target - floor(p.expected) * p.source_size AS missing,
-         (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT *, floor(expected) AS certain, expected - floor(expected) AS rest,
+         target - sum(floor(expected) * size) OVER (PARTITION BY source) AS missing,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM hoped
 ), ranked AS (
   SELECT *, CASE WHEN rest > 0 THEN (u / (1 - u)) / (rest / (1 - rest)) ELSE 'infinity'::DOUBLE END AS rank FROM drawn
 ), summed AS (

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quirespark.llm.mixing import mix_copies, mix_sources, source_targets
+from quirespark.llm.mixing import by_length, mix_sources, repeat_copies, source_targets
 from tests.llm.helpers import DOCS, awkward, clash, long_text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,22 +60,66 @@ def test_taken_words_come_near_the_target(spark):
 
 def test_salted_join_gives_the_same(spark):
     docs = spark.createDataFrame([(i, long_text(i, 9), None, None if i % 5 == 0 else f"s{i % 4}", None) for i in range(300)], DOCS)
-    a = sorted(map(str, mix_copies(docs, keep=docs.columns).collect()))
-    assert a == sorted(map(str, mix_copies(docs, keep=docs.columns, few_sources=0).collect()))
+    a = sorted(map(str, mix_sources(docs, keep=docs.columns).collect()))
+    assert a == sorted(map(str, mix_sources(docs, keep=docs.columns, few_sources=0).collect()))
 
 
 def test_importance_changes_the_odds_within_a_source(spark):
     docs = [(i, "w " * 10, None, "ab"[i % 2], i % 4 // 2) for i in range(4000)]
     df = spark.createDataFrame(docs, DOCS).withColumn("importance", 1.0 + 3.0 * F.col("n_chars"))
-    rows = {r["doc_id"]: r for r in mix_sources(df, importance_col="importance").collect()}
+    rows = {r["doc_id"]: r for r in mix_sources(df, importance="importance").collect()}
     for source in "ab":
         mine = [rows[i] for i in rows if "ab"[i % 2] == source]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 10
     mean = lambda heavy: sum(rows[i]["copies"] for i in rows if i % 4 // 2 == heavy and i % 2 == 0) / 1000
     assert 3.2 < mean(1) / mean(0) < 4.8
-    none = mix_sources(df.withColumn("importance", F.lit(None)), importance_col="importance").collect()
+    none = mix_sources(df.withColumn("importance", F.lit(None)), importance="importance").collect()
     assert {r["copies"] for r in none} == {0}
 
 
+def expected_copies(docs, goal, cap=3.0):
+    """Brute force: a source's ratio by halving, until its words reach its target. docs: (source, size, weight)."""
+    out = {}
+    for source in goal:
+        mine = [(n, w) for s, n, w in docs if s == source]
+        words = lambda r: sum(n * min(r * w, cap) for n, w in mine)  # noqa: B023, E731
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < goal[source] else (low, mid)
+        out[source] = high
+    return out
+
+
+def test_inclusion_rates_are_the_expected_copies(spark):
+    """Fragments, documents and long documents of one source are taken at rates of 1 : 2 : 4, up to the cap."""
+    kinds = (20, 100, 600)
+    docs = [(i, "w " * kinds[i % 3], None, "abcd"[i % 4], None) for i in range(9000)]
+    rows = mix_sources(spark.createDataFrame(docs, DOCS), importance=by_length(F.col("text"))).collect()
+    facts = [(r["source"], r["size"], {20: 0.5, 100: 1.0, 600: 2.0}[r["size"]]) for r in rows]
+    goal = {r["source"]: r["target"] for r in rows}
+    ratio = expected_copies(facts, goal)
+    for source in "abcd":
+        assert abs(sum(r["taken"] for r in rows if r["source"] == source) - goal[source]) <= 600
+        for n, w in ((20, 0.5), (100, 1.0), (600, 2.0)):
+            copies = [r["copies"] for r in rows if r["source"] == source and r["size"] == n]
+            assert abs(sum(copies) / len(copies) - min(ratio[source] * w, 3.0)) < 0.06 and max(copies) <= 3
+
+
+def test_capped_sources_reach_their_target_with_importance(spark):
+    docs = [(i, "w " * (20 if i % 2 else 600), None, "tiny" if i < 40 else "big", None) for i in range(4000)]
+    rows = mix_sources(spark.createDataFrame(docs, DOCS), weights=(1, 100), importance=by_length(F.col("text"))).collect()
+    assert {r["copies"] for r in rows if r["source"] == "tiny"} == {3}
+
+
+def test_copies_keep_columns_of_any_name(spark):
+    taken = ["__copies", "__copy", "copies", "copy", "size", "k0", "taken", "weight", "a.b"]
+    docs = spark.createDataFrame(awkward(), DOCS).select("*", *[F.lit(c).alias(c) for c in taken])
+    made = mix_sources(docs, keep=docs.columns)
+    assert made.columns == [*docs.columns, "size_", "source_size", "target", "copies_", "taken_"]
+    again = repeat_copies(docs)
+    assert again.columns == docs.columns and again.count() == sum(r["copies_"] for r in made.collect())
+
+
 def test_empty_table(spark):
     assert mix_sources(spark.createDataFrame([], DOCS)).count() == 0

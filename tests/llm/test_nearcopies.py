@@ -3,31 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import public_tokenizers
-from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quirespark.llm.nearcopies import copy_groups, forest, shingles, similar
+from tests.llm.copies import brute
 from tests.llm.helpers import DOCS, awkward, clash, long_text
-from tests.llm.test_packing import check
-from tests.llm.test_pipeline import mixed
-
-
-def words_set(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
-
-
-def brute(docs):
-    sets = [words_set(d[1]) for d in docs]
-    group = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                a, b = group[i], group[j]
-                group = [min(a, b) if g in (a, b) else g for g in group]
-    least = {g: min((d[0] for d, x in zip(docs, group) if x == g and d[0] is not None), default=None) for g in set(group)}
-    return sorted((str(d[0]), str(least[g])) for d, g in zip(docs, group))
 
 
 def edited(n=80):
@@ -81,13 +61,8 @@ def test_stage_keeps_unlinked_texts_of_one_id_and_meets_null_ids(spark):
     assert len(kept) == 4 and set(kept) == {(7, a), (7, b), (5, c), (None, d)}
 
 
-def test_run_equals_brute_force_of_five_words(spark):
-    """As test_pipeline's, by the rule of this stage: doc_id 145 copies 6 at a similarity of 0.83."""
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = corpus_pipeline.language_stage(spark, corpus_pipeline.quality_stage(spark, docs, sf), sf).collect()
-    first = {i for i, c in brute([(r["doc_id"], r["text"]) for r in rows]) if i == c}
-    rows = [r for r in rows if str(r["doc_id"]) in first]
-    assert 6 in {r["doc_id"] for r in rows} and 145 not in {r["doc_id"] for r in rows}
-    packed = corpus_pipeline.run(spark, sf).collect()
-    check(packed, [(r["doc_id"], r["text"]) for r in mixed(rows, spark)], Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+def test_stage_drops_a_planted_near_copy(spark):
+    """doc_id 145 copies 6 at a similarity of 0.83."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert 6 in kept and 145 not in kept and kept == {int(i) for i, c in brute([(r["doc_id"], r["text"]) for r in docs.collect()]) if i == c}
