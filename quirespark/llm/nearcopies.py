@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirespark.llm._common import connected_components, materialise
+from quirespark.llm._common import connected_components, materialise, named
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, GROUP = 20, 4, 4_000
@@ -153,3 +153,27 @@ def copy_groups(
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.join(least, "root").select("node", "component_id", F.col("root").alias("component"))
     return found.join(member, "node").select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "component_id", "component")
+
+
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of every group of copy_groups(), with all columns of ``docs``.
+
+    The row of the smallest id stays; null ids come last. Among rows of one id, that of the
+    smallest text hash stays, and among rows equal in both, that of the smallest hash of all
+    its columns: reruns keep the same. Rows of one id whose texts do not link both stay.
+    """
+    rows = copy_groups(docs, id_col, text_col, similarity=similarity).select(named(id_col).alias("id"), "text_hash", "component")
+    rows = rows.groupBy("component", "id", "text_hash").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "rows")
+    first = materialise(rows.groupBy("component").agg(F.min(order).alias("f")).select("f.id", "f.text_hash", "f.rows"), "first")
+    held = [f"k{i}" for i in range(len(docs.columns))]
+    text_hash = F.xxhash64(F.coalesce(named(text_col).cast("string"), F.lit("")))
+    whole = docs.select(*[named(c).alias(k) for k, c in zip(held, docs.columns)], named(id_col).alias("of"), text_hash.alias("hash"))
+    # The list of kept rows grows with the corpus: at every size it meets the texts by a shuffle.
+    ours = first.select("id", "text_hash").hint("shuffle_hash")
+    kept = whole.join(ours, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")), "left_semi")
+    if not first.where("rows > 1").isEmpty():
+        same = Window.partitionBy("of", "hash").orderBy("all")
+        sums = F.sha1(F.to_json(F.struct(*held), {"ignoreNullFields": "false"}))
+        kept = kept.withColumn("all", sums).withColumn("n", F.row_number().over(same)).where("n = 1")
+    return kept.select(*[F.col(k).alias(c) for k, c in zip(held, docs.columns)])
