@@ -12,57 +12,66 @@ from pyspark.sql import functions as F
 
 from quirespark.llm._common import materialise
 
-#: lang_pred alone rejects (und): any score of a named language is enough.
-MIN_LANGUAGE_SCORE = 0.0
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted quality is 1; labels come from the labels table."""
-    from quirespark.llm.quality import fit_quality, score_quality
+    """Documents whose predicted quality is 1; labels come from the labels table.
+
+    Null and empty texts are scored as empty ones and go or stay like any other; very long
+    texts are read whole. A score equal to the threshold stays. Repeated rows stay or go
+    together, an empty table stays empty, and columns may have any names.
+    """
+    from quirespark.llm.quality import fit_quality, keep_quality
 
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, keep=docs.columns).where("predicted = 1").select(docs.columns)
+    return keep_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; only those without one (no letters) are rejected."""
-    from quirespark.llm.language import UNKNOWN, fit_languages, identify_languages
+    """Documents in a learned language, whatever the margin.
+
+    Null, empty and letterless texts have none and go; so does everything if no document
+    names a language. Ties go to the language that sorts first and stay. Repeated rows stay
+    or go together, an empty table stays empty, and columns may have any names.
+    """
+    from quirespark.llm.language import fit_languages, keep_named
 
-    named = identify_languages(docs, fit_languages(docs), keep=docs.columns)
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    return keep_named(docs, fit_languages(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of 5-word similarity 0.8: that of the smallest id, then text hash; null ids come last."""
-    from quirespark.llm.nearcopies import copy_groups
+    """One document of every group of near copies: that of the smallest id, then text hash.
 
-    rows = copy_groups(docs).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows")
-    first = materialise(rows.groupBy("component").agg(F.min(order).alias("f")).select("f.doc_id", "f.text_hash", "f.rows"), "first")
-    # The list of kept rows grows with the corpus: at every size it meets the texts by a shuffle.
-    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    ours = first.select(F.col("doc_id").alias("__id"), "text_hash").hint("shuffle_hash")
-    kept = hashed.join(ours, hashed.doc_id.eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
-    if not first.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__hash"])
-    return kept.select(docs.columns)
+    Null ids come last; null, empty and blank texts are one group. Repeated rows are one
+    document; rows of one id with unlike texts are several. Very long texts are read whole, an
+    empty table stays empty, and columns may have any names.
+    """
+    from quirespark.llm.nearcopies import keep_first_copies
+
+    return keep_first_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    from quirespark.llm.mixing import mix_copies
+    """Every document as often as the mix takes it, long ones with better odds.
+
+    A null source is a source; null and empty texts have no words, and draw like any others.
+    Ties of rank go to the smaller id, then size; repeated rows are taken together or not at
+    all. An empty table stays empty, and columns may have any names.
+    """
+    from quirespark.llm.mixing import by_length, repeat_copies
 
-    mixed = mix_copies(docs, keep=docs.columns).where("__copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    return repeat_copies(docs, importance=by_length(F.col("text")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document is packed."""
+    """Where each piece of each document is packed.
+
+    Null and empty texts are one piece; very long ones are cut. Repeated rows and null ids are
+    packed like any others; an empty table gives no piece. Other columns are not read.
+    """
     import public_tokenizers
 
     from quirespark.llm.packing import pack_documents
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
