@@ -1,18 +1,20 @@
 """Media columns in archives, read back through a data source of our own.
 
 Writing: every task stores its rows as WAV files (8-bit mono samples) in one zip archive in
-the shared folder, under a temporary name that is changed when the archive is complete; only
-archives named by a task that ended are listed, so attempts that were lost leave nothing that
-is read. Reading: the driver plans byte ranges from the archives' sizes alone. A range's task
-reads the archive's directory, takes the members whose headers start in its range, checks each
-one's CRC and hands them on in Arrow batches of bounded bytes. A member that fails is tried
-again from its own offset, alone.
+the shared folder, under a temporary name that is changed when the archive is complete. The
+rows' ids and lengths are members of the archive as well, one for up to ``INDEXED`` rows. A
+manifest table lists the archives of the tasks that ended, so attempts that were lost leave
+nothing that is read. Reading: the driver plans byte ranges from the sizes in the manifest
+alone. A range's task reads the archive's directory, takes the members whose headers start in
+its range, checks each one's CRC and hands them on in Arrow batches of bounded bytes. A member
+that fails is tried again from its own offset, alone, with a handle of its own.
+
+Folders may be mounted ones or any that Arrow's file systems open (hdfs://, s3:// ...).
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import time
 import uuid
@@ -22,24 +24,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from quirespark.llm._common import materialise, shared_folder
+from quirespark.llm._common import named, shared_folder
 
 RATE, ALIGN, BATCH_BYTES, RANGE_BYTES = 8000, 64, 8 << 20, 16 << 20
+INDEXED, INDEX_BYTES = 4096, 1 << 20
 
 
-def local_path(url: str) -> str:
-    """The path of a shared folder that is mounted on all machines."""
+def opened(url: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there."""
     if url.startswith("file:"):
-        return "/" + url[5:].lstrip("/")
+        return fs.LocalFileSystem(), "/" + url[5:].lstrip("/")
     if "://" in url:
-        raise ValueError(f"archives need a mounted shared folder, not {url}")
-    return url
+        return fs.FileSystem.from_uri(url)
+    return fs.LocalFileSystem(), url
 
 
 def to_wav(raw: bytes) -> bytes:
@@ -66,81 +71,109 @@ def from_wav(media: bytes) -> bytes:
     raise ValueError("no samples")
 
 
+def _index(rows: list[tuple[int, str | None, int]]) -> bytes:
+    """Numbers, ids and text lengths of members, as Arrow bytes: ids of any length, null apart from empty."""
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.large_string(), pa.int64()))], ["n", "id", "n_bytes"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every row's text; one row an archive: path, bytes, members.
+    """Store every row's text; one row an archive: path (its name), bytes, members (rows stored).
 
-    A member's name is its number in the archive; its comment holds the id as text (nothing
-    for null) and the text's length in bytes.
+    A row's member is named by its number in the archive. Members named by a first number and
+    ``.ids`` hold the ids as text, and the texts' lengths in bytes, of the rows from there.
     """
-    base = local_path(folder)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(base, exist_ok=True)
+        system, base = opened(folder)
+        system.create_dir(base, recursive=True)
         context = TaskContext.get()
-        name = f"{base}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.zip"
-        members = 0
-        with zipfile.ZipFile(f"{name}.tmp", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.zip"
+        members, index, held = 0, [], 0
+
+        def put(archive: zipfile.ZipFile, name: str, data: bytes) -> None:
+            info = zipfile.ZipInfo(name)
+            info.compress_type = zipfile.ZIP_DEFLATED
+            archive.writestr(info, data)
+
+        with system.open_output_stream(f"{base}/{name}.tmp") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
             for batch in batches:
                 for key, text in zip(batch.column(0), batch.column(1)):
-                    raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    info = zipfile.ZipInfo(f"{members:09d}.wav")
-                    info.compress_type = zipfile.ZIP_DEFLATED
-                    key = key.as_py()
-                    info.comment = f"{'' if key is None else key} {len(raw)}".encode()
-                    archive.writestr(info, to_wav(raw))
-                    members += 1
+                    raw, key = (text.as_py() or "").encode("utf-8", "surrogatepass"), key.as_py()
+                    put(archive, f"{members:09d}.wav", to_wav(raw))
+                    index.append((members, key, len(raw)))
+                    members, held = members + 1, held + len(key or "")
+                    if len(index) == INDEXED or held > INDEX_BYTES:
+                        put(archive, f"{index[0][0]:09d}.ids", _index(index))
+                        index, held = [], 0
+            if index:
+                put(archive, f"{index[0][0]:09d}.ids", _index(index))
         if members:
-            os.replace(f"{name}.tmp", name)
-            yield pa.record_batch([pa.array([name]), pa.array([os.path.getsize(name)], pa.int64()), pa.array([members], pa.int64())], ["path", "bytes", "members"])
+            system.move(f"{base}/{name}.tmp", f"{base}/{name}")
+            size = system.get_file_info(f"{base}/{name}").size
+            yield pa.record_batch([pa.array([name]), pa.array([size], pa.int64()), pa.array([members], pa.int64())], ["path", "bytes", "members"])
         else:
-            os.remove(f"{name}.tmp")
+            system.delete_file(f"{base}/{name}.tmp")
 
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(named(id_col).cast("string").alias("id"), named(text_col).cast("string").alias("text")).mapInArrow(
         store, "path string, bytes long, members long"
     )
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
+    def __init__(self, name: str, begin: int, end: int):
+        self.name, self.begin, self.end = name, begin, end
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.folder = local_path(options["path"])
-        self.only = options.get("archives")
+        self.folder = options["path"]
+        self.manifest = options.get("manifest")
         self.span = int(options.get("rangebytes", RANGE_BYTES))
         self.tries = int(options.get("tries", 3))
 
+    def archives(self) -> Iterator[tuple[str, int]]:
+        """Names and sizes: those of the manifest, or of all archives in the folder."""
+        if self.manifest is None:
+            system, base = opened(self.folder)
+            found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+            yield from sorted((f.base_name, f.size) for f in found if f.base_name.endswith(".zip"))
+            return
+        system, base = opened(self.manifest)
+        for batch in ds.dataset(base, filesystem=system, format="parquet").to_batches(columns=["path", "bytes"]):
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges of the listed archives, from their sizes; no directory is read here."""
-        if self.only is not None:
-            names = [x for x in self.only.split("|") if x]
-        else:
-            names = sorted(x for x in os.listdir(self.folder) if x.endswith(".zip")) if os.path.isdir(self.folder) else []
-        out = []
-        for name in names:
-            path = os.path.join(self.folder, name)
-            size = os.path.getsize(path)
-            out += [ByteRange(path, at, min(at + self.span, size)) for at in range(0, size, self.span)]
+        """Byte ranges of the archives, from their sizes; no directory is read here."""
+        out = [ByteRange(name, at, min(at + self.span, size)) for name, size in self.archives() for at in range(0, size, self.span)]
         return out or [ByteRange("", 0, 0)]
 
-    def member(self, path: str, info: zipfile.ZipInfo) -> bytes:
-        """One member's bytes by its offset, checked; tried again alone, with a new handle."""
+    def take(self, f: pa.NativeFile, info: zipfile.ZipInfo) -> bytes:
+        """One member's bytes by its offset, checked."""
+        f.seek(info.header_offset)
+        head = f.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise OSError("no member starts here")
+        name, extra = struct.unpack_from("<HH", head, 26)
+        f.seek(info.header_offset + 30 + name + extra)
+        stored = f.read(info.compress_size)
+        media = stored if info.compress_type == zipfile.ZIP_STORED else zlib.decompress(stored, -15, info.file_size or 1)
+        if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
+            raise OSError("its bytes do not match its checksum")
+        return media
+
+    def member(self, f: pa.NativeFile, path: str, info: zipfile.ZipInfo) -> bytes:
+        """take(), from the range's handle; tried again alone, each time with a new one."""
+        system = opened(self.folder)[0]
         for attempt in range(self.tries):
             try:
-                with open(path, "rb") as f:
-                    f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise OSError("no member starts here")
-                    name, extra = struct.unpack_from("<HH", head, 26)
-                    f.seek(name + extra, 1)
-                    stored = f.read(info.compress_size)
-                media = stored if info.compress_type == zipfile.ZIP_STORED else zlib.decompress(stored, -15, info.file_size or 1)
-                if len(media) != info.file_size or zlib.crc32(media) != info.CRC:
-                    raise OSError("its bytes do not match its checksum")
-                return media
+                if not attempt:
+                    return self.take(f, info)
+                with system.open_input_file(path) as again:
+                    return self.take(again, info)
             except (OSError, zlib.error) as e:
                 if attempt + 1 == self.tries:
                     raise OSError(f"{path}, member {info.filename} at {info.header_offset}: {e}") from e
@@ -148,22 +181,33 @@ class ArchiveReader(DataSourceReader):
         raise AssertionError
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
-        infos = []
-        if part.path:
-            with zipfile.ZipFile(part.path) as archive:
-                infos = [i for i in archive.infolist() if part.begin <= i.header_offset < part.end]
-        for info in infos:
-            media = self.member(part.path, info)
-            key, _, size = info.comment.decode().rpartition(" ")
-            rows.append((key or None, int(size), os.path.basename(part.path), info.header_offset, media))
-            held += len(media)
-            if held >= BATCH_BYTES:
+        if not part.name:
+            return
+        system, base = opened(self.folder)
+        path = f"{base}/{part.name}"
+        with system.open_input_file(path) as f:
+            with zipfile.ZipFile(f) as archive:
+                listed = archive.infolist()
+            indexes = sorted((int(i.filename[:-4]), i) for i in listed if i.filename.endswith(".ids"))
+            firsts, known, facts = [n for n, _ in indexes], -1, {}
+            rows: list[tuple] = []
+            held = 0
+            for info in listed:
+                if not (part.begin <= info.header_offset < part.end and info.filename.endswith(".wav")):
+                    continue
+                number = int(info.filename[:-4])
+                at = int(np.searchsorted(firsts, number, "right")) - 1
+                if at != known:
+                    table = pa.ipc.open_stream(self.member(f, path, indexes[at][1])).read_all()
+                    known, facts = at, dict(zip(table["n"].to_pylist(), zip(table["id"].to_pylist(), table["n_bytes"].to_pylist())))
+                media = self.member(f, path, info)
+                rows.append((*facts[number], part.name, info.header_offset, media))
+                held += len(media)
+                if held >= BATCH_BYTES:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+            if rows:
                 yield self.batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self.batch(rows)
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -174,8 +218,8 @@ class ArchiveReader(DataSourceReader):
 class ArchiveSource(DataSource):
     """``spark.read.format("media_archive").load(folder)``: id, n_bytes, archive, offset, media.
 
-    Options: archives (names joined by ``|``; all of the folder's if not given), rangebytes,
-    tries.
+    Options: manifest (a Parquet table of path and bytes; all archives of the folder if not
+    given), rangebytes, tries.
     """
 
     @classmethod
@@ -225,18 +269,16 @@ def media_features(media: DataFrame, features: Callable[[bytes], str] = signal_f
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Store all texts as media, read them back, and describe what was read.
 
-    Null texts are empty ones: 64 zero samples. Repeated rows are members of their own, null
-    ids stay null, very long texts are one member each (which has to fit in a task's memory),
-    an empty table gives no member. Other columns are not read.
+    Null texts are empty ones: 64 zero samples. Repeated rows are members of their own; null
+    ids stay null, apart from empty ones, and ids may be of any length. Very long texts are one
+    member each (which has to fit in a task's memory), an empty table gives no member. Equal
+    texts give equal media. Other columns are not read, whatever their names.
     """
     spark: SparkSession = docs.sparkSession
     folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
     # One short row an archive, that is one a task: the archives that exist, whichever attempt made them.
-    listed = materialise(write_archives(docs, folder, id_col, text_col), "archives")
-    names = [os.path.basename(r["path"]) for r in listed.select("path").orderBy("path").toLocalIterator()]
+    write_archives(docs, folder, id_col, text_col).write.parquet(f"{folder}/manifest")
     spark.dataSource.register(ArchiveSource)
-    media = (
-        spark.read.format("media_archive").option("archives", "|".join(names)).option("rangebytes", str(range_bytes)).load(folder)
-    )
+    media = spark.read.format("media_archive").option("manifest", f"{folder}/manifest").option("rangebytes", str(range_bytes)).load(folder)
     made = media_features(media)
     return made.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

@@ -35,6 +35,19 @@ def test_awkward_rows(spark):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_ids_null_empty_and_very_long(spark):
+    ids = [None, "", "a b", "x" * 100_000, "ü" * 70_000, "9"]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id string, text string")
+    rows = media_column(docs, range_bytes=500).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or "", r["n_bytes"]) for r in rows) == sorted((i is None, i or "", 6) for i in ids)
+
+
+def test_ids_of_many_members(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "t" * (i % 90)) for i in range(9000)], "doc_id long, text string").coalesce(1)
+    rows = media_column(docs, range_bytes=50_000).collect()
+    assert sorted((r["doc_id"], r["n_bytes"]) for r in rows) == [(i, i % 90) for i in range(9000)]
+
+
 def test_empty_table(spark):
     assert media_column(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -53,6 +66,10 @@ def test_a_member_is_tried_again_alone_and_damage_is_told(spark, tmp_path):
     (name,) = [n for n in os.listdir(tmp_path) if n.endswith(".zip")]
     reader = ArchiveReader({"path": str(tmp_path), "tries": "2"})
     assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [1]
+    first, taken = reader.take, []
+    reader.take = lambda f, info: taken.append(info.filename) or (first(f, info) if taken.count(info.filename) > 1 else (_ for _ in ()).throw(OSError("lost")))
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [1] and taken.count("000000000.wav") == 2
+    reader.take = first
     whole = (tmp_path / name).read_bytes()
     (tmp_path / name).write_bytes(whole[:60] + bytes([whole[60] ^ 255]) + whole[61:])
     with pytest.raises(OSError, match="member 000000000.wav"):
