@@ -2,15 +2,17 @@
 
 Vectors (with one component more, which turns the largest inner product into the nearest
 direction) are projected onto a few axes, turned and shifted once a curve, and put in the order
-of the Hilbert curve through the cells of the result. Spark range-partitions every order into
-blocks of bounded size. A query is compared with all vectors of the blocks around its own
-place on every curve; what the curves find is merged and ranked by the exact measure.
-
-How many curves and how wide a window are not guessed: a bounded sample of queries is searched
-exactly, and the cheapest setting is taken whose windows hold ``recall`` of the true
-neighbours. Where directions are spread evenly in many dimensions no order keeps neighbours
-together, and every such setting reads more than all vectors; the window is then the whole
-table once, in the same bounded blocks, which is exact.
+of the Hilbert curve through the cells of the result. Spark range-partitions every order, and
+every vector gets its row number along it. A query is compared with all vectors whose numbers
+are within a window around its own on every curve, in blocks far smaller than the window; what
+the curves find is merged and ranked by the exact measure.
+
+How many curves and how wide a window are not guessed, at any size of the table: a bounded
+sample of queries is searched exactly, and the cheapest setting is taken whose windows hold
+``recall`` of the true neighbours. Where directions are spread evenly in many dimensions no
+order keeps neighbours together, and every such setting reads more than all vectors; the window
+is then the whole table once, in bounded blocks, which is exact, and quadratic: beyond
+``exact_pairs`` comparisons it is refused.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirespark.llm._common import materialise
+from quirespark.llm._common import materialise, named
 
 BITS, AXES = 7, 8
 
@@ -193,25 +195,32 @@ def choose(asked_keys: np.ndarray, found_keys: np.ndarray, sample_keys: np.ndarr
 def nearest(
     vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95,
     curves: int = 8, block: int = 8192, chunk: int = 4096, fit_rows: int = 4096, fit_queries: int = 128, setting: Setting | None = None,
+    exact_pairs: int = 10**13,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of every query, itself left out.
 
-    Null, zero and non-finite vectors and null ids take no part, nor do vectors of another
-    length than the commonest one. Equal scores go to the smaller id. Rows of the same id and
+    Null, zero and non-finite vectors and null ids take no part. Vectors are searched among
+    those of their own length. Equal scores go to the smaller id. Rows of the same id and
     vector count once. Fewer than k candidates give fewer rows; an empty table gives none.
     Equal vectors are folded first: only the k + 1 smallest ids of a vector can be among
-    anyone's k nearest, and equal queries are searched once.
+    anyone's k nearest, and equal queries are searched once. Other columns are not read.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
-    spark = vectors.sparkSession
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
+    clean = vectors.select(named(id_col).cast("long").alias("id"), named(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
     clean = clean.where("id IS NOT NULL AND vec IS NOT NULL").where(finite)
-    dims = clean.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if dims is None:
-        return spark.createDataFrame([], schema)
-    dim = dims["dim"]
-    clean = clean.where(F.size("vec") == dim)
+    lengths = [r["dim"] for r in clean.groupBy(F.size("vec").alias("dim")).agg(F.max("asks").alias("asked")).where("asked").orderBy("dim").collect()]
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in lengths:
+        found, _ = search(clean.where(F.size("vec") == dim), dim, k, recall, curves, block, chunk, fit_rows, fit_queries, setting, exact_pairs)
+        out = found if len(lengths) == 1 else out.unionAll(found)
+    return out
+
+
+def search(
+    clean: DataFrame, dim: int, k: int, recall: float, curves: int, block: int, chunk: int, fit_rows: int, fit_queries: int,
+    setting: Setting | None, exact_pairs: int,
+) -> tuple[DataFrame, Setting]:
+    """nearest() among the (id, vec, asks) of one length, and the setting that was taken."""
     clean = clean.groupBy("id", "vec").agg(F.max("asks").alias("asks"))
 
     first = Window.partitionBy("vec").orderBy("id")
@@ -230,8 +239,6 @@ def nearest(
         rows = folded.orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
         sample = np.array([r["vec"] for r in rows], np.float64)
         fitted = Curves.fit(sample, largest, curves if chosen is None else chosen.curves)
-    if chosen is None and total <= block:
-        chosen = Setting(0, 1.0, 1.0)
     if chosen is None:
         some = heads.orderBy(F.xxhash64("id"), "id").limit(fit_queries).collect()
         asked = np.array([r["vec"] for r in some], np.float64).reshape(-1, dim)
@@ -247,6 +254,8 @@ def nearest(
             chosen = Setting(0, 1.0, 1.0)
 
     if not chosen.curves:
+        if total * heads_total > exact_pairs:
+            raise ValueError(f"no windows hold {recall} of these vectors' neighbours, and an exact search would compare {total} vectors with {heads_total} queries; exact_pairs allows {exact_pairs}")
         blocks, chunks = -(-total // block), max(-(-heads_total // chunk), 1)
         cells = folded.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(
             "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
@@ -257,16 +266,19 @@ def nearest(
         best = _merge(_compare(cells, asked, dim, k + 1), k + 1)
     else:
         ordered = materialise(_in_order(folded, heads, fitted, chosen.curves, dim, -(-total * chosen.curves // block)), "ordered")
-        blocks = -(-total // block)
-        reach = max(math.ceil(chosen.width * blocks), 1)
-        each = heads_total * chosen.curves * (2 * reach + 1) / max(blocks * chosen.curves, 1)
-        chunks = max(math.ceil(each / chunk), 1)
-        cells = ordered.where("NOT asked").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-        asked = (
-            ordered.where("asked").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-            .withColumn("block", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)))
-            .dropDuplicates(["id", "block"])
-        )
+        reach = max(math.ceil(chosen.width * total), 1)
+        step = min(max(reach // 4, 64), block)  # rows a block: windows are read to a quarter of their half
+        chunks = max(math.ceil(heads_total * (2 * reach + step) / max(total, 1) / chunk), 1)
+        numbered = _numbered(ordered)
+        cells = numbered.where("NOT asked").withColumn("block", F.floor(F.col("row") / step)).withColumn(
+            "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
+        )
+        asked = numbered.where("asked").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn(
+            "block", F.explode(F.sequence(F.floor((F.col("row") - reach) / step), F.floor((F.col("row") + reach) / step)))
+        )
+        # Named anew, as both sides are of one table.
+        part = lambda df: df.select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.col("chunk").alias("chunk"), (F.col("block") * chosen.curves + F.col("curve")).alias("block"))
+        cells, asked = part(cells), part(asked.where((F.col("block") >= 0) & (F.col("block") <= (total - 1) // step)))
         met = _compare(cells, asked, dim, k + 1)
         best = _merge(met.groupBy("asker", "vec_id").agg(F.max("score").alias("score")), k + 1)
 
@@ -275,13 +287,15 @@ def nearest(
     out = who.join(lists, F.col("head") == F.col("asker")).withColumn(
         "found", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     )
-    return out.select("query_id", F.posexplode("found").alias("at", "hit")).select(
+    out = out.select("query_id", F.posexplode("found").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score"
     )
+    return out, chosen
 
 
-def _in_order(folded: DataFrame, heads: DataFrame, fitted: Curves, curves: int, dim: int, blocks: int) -> DataFrame:
-    """Vectors and queries once a curve, range-partitioned by curve and key; a partition is a block."""
+def _in_order(folded: DataFrame, heads: DataFrame, fitted: Curves, curves: int, dim: int, tasks: int) -> DataFrame:
+    """Vectors and queries once a curve, range-partitioned and sorted by curve and key: id, vec,
+    asked, curve, task, and local, how many vectors of its curve the task had before."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,11 +304,30 @@ def _in_order(folded: DataFrame, heads: DataFrame, fitted: Curves, curves: int,
             for c in range(curves):
                 yield pa.record_batch([*batch.columns, pa.array(np.full(len(asked), c, np.int32)), pa.array(keys[:, c])], ["id", "vec", "asked", "curve", "key"])
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before = TaskContext.get().partitionId(), np.zeros(curves, np.int64)
         for batch in batches:
-            yield pa.record_batch([*batch.columns[:3], pa.array(np.full(batch.num_rows, at, np.int64))], ["id", "vec", "asked", "block"])
+            vectors = ~batch.column(2).to_numpy(zero_copy_only=False)
+            curve, local = batch.column(3).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for c in np.unique(curve):
+                mine = curve == c
+                so_far = np.cumsum(vectors[mine])
+                local[mine] = before[c] + so_far - vectors[mine]
+                before[c] += so_far[-1]
+            yield pa.record_batch([*batch.columns[:4], pa.array(np.full(batch.num_rows, at, np.int32)), pa.array(local)], ["id", "vec", "asked", "curve", "task", "local"])
 
     rows = folded.withColumn("asked", F.lit(False)).unionByName(heads.select("id", "vec").withColumn("asked", F.lit(True)))
     placed = rows.select("id", "vec", "asked").mapInArrow(keyed, "id long, vec array<double>, asked boolean, curve int, key long")
-    return placed.repartitionByRange(blocks, "curve", "key", "id").mapInArrow(numbered, "id long, vec array<double>, asked boolean, block long")
+    ordered = placed.repartitionByRange(max(tasks, 1), "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    return ordered.mapInArrow(counted, "id long, vec array<double>, asked boolean, curve int, task int, local long")
+
+
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """``ordered`` with row, the place along the curve over all tasks.
+
+    What is broadcast is one number a task and curve that it holds rows of.
+    """
+    before = Window.partitionBy("curve").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ordered.groupBy("curve", "task").agg(F.count_if(~F.col("asked")).alias("n"))
+    starts = counts.select("curve", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ordered.join(F.broadcast(starts), ["curve", "task"]).withColumn("row", F.col("local") + F.col("start"))
