@@ -1,4 +1,10 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: SimHash groups, widened to texts of a Jaccard similarity of 0.8 or more.
+
+Two texts link if their SimHash fingerprints do (simhash.py: two or fewer differing bits), or if
+their sets of five-word shingles are that similar. Fingerprints alone cannot tell the latter:
+at a similarity of 0.8 they differ in about ten bits of 64, and no cut into segments that then
+differ by at most one bit leaves segments long enough to be selective. So the candidates of
+the second rule come from MinHash.
 
 Candidates share one of ``BANDS`` MinHash keys of ``ROWS`` minima each: a pair of similarity s
 is missed with a chance of (1 - s^ROWS)^BANDS, which is 0.00003 at 0.8 and less above it.
@@ -21,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.llm._common import connected_components, materialise, named
+from quirespark.llm.simhash import fingerprint, print_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, GROUP = 20, 4, 4_000
@@ -97,38 +104,50 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield linked()
 
 
+def _print_edges(found: DataFrame) -> DataFrame:
+    """Links of nodes whose fingerprints are equal or link; a fingerprint stands for its least node."""
+    pairs = found.groupBy("fp", "node").agg(F.count("*").alias("rows")).select("fp", "node")
+    heads = materialise(pairs.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("nodes")), "heads")
+    same = pairs.join(heads.where("nodes > 1"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = print_links(heads.select("fp"))
+    left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("p")), heads.select(F.col("fp").alias("b"), F.col("head").alias("q"))
+    return same.unionAll(links.join(left, "a").join(right, "b").select("p", "q"))
+
+
 def copy_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY,
     group: int = GROUP,
 ) -> DataFrame:
     """One row a row of ``docs``: id, text_hash (xxhash64 of the text), component_id, component.
 
-    Texts link when their sets of word shingles are that similar, in lower case (ASCII) and
-    whatever the white space; texts without a word link to each other. component_id is the
+    Texts link when their fingerprints do, or when their sets of word shingles are that
+    similar, in lower case (ASCII) and whatever the white space; texts without a word link to
+    each other. Very long texts are read whole; an empty table gives an empty result. component_id is the
     smallest id that can be reached. A null id never is, unless all of its component's are
     null. Where ids repeat, two components may have one component_id; component tells them
     apart. Repeated rows give repeated rows. Other columns are not read.
     """
     ids = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, keys = [], []
+            made, keys, prints = [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py(), shingle)
+                prints.append(fingerprint(text.as_py()))
                 made.append(xxhash.xxh64_intdigest(found.tobytes(), _SEED))
                 keys.append(band_keys(found) if len(found) else np.zeros(0, np.int64))
             nodes = pa.array(np.array(made, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(1), nodes, pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "node", "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(1), nodes, pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "node", "fp", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], ["node", "members"])
 
-    found = materialise(rows.mapInArrow(keyed, f"id {ids.simpleString()}, h long, node long, keys array<long>"), "keys")
+    found = materialise(rows.mapInArrow(keyed, f"id {ids.simpleString()}, h long, node long, fp long, keys array<long>"), "keys")
     keys = found.select("node", F.explode("keys").alias("key")).distinct()
     # Keys of one and the same group of nodes do the same work: one of them stays.
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("of")).where("size > 1")
@@ -146,7 +165,7 @@ def copy_groups(
     whole = materialise(whole.dropDuplicates(["node"]), "sets")
     # Sorted by part inside each task: an external sort that spills; the task itself streams.
     met = parts.join(whole, "node").select("part", "node", "members").repartition("part").sortWithinPartitions("part", "node")
-    nodes = connected_components(met.mapInArrow(lambda b: _links(b, similarity), "a long, b long"))
+    nodes = connected_components(met.mapInArrow(lambda b: _links(b, similarity), "a long, b long").unionAll(_print_edges(found)))
     nodes = nodes.unionAll(nodes.select(F.col("root").alias("node"), "root").distinct())
     rooted = found.groupBy("node").agg(F.min("id").alias("least")).join(nodes, "node", "left")
     rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"))

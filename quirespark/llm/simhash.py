@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm._common import connected_components, materialise
+from quirespark.llm._common import connected_components, materialise, named
 
 GROUP = 20_000
 _SEED = 42
@@ -161,6 +161,18 @@ def _clique_links(hot: DataFrame) -> DataFrame:
     return rows.join(least, ["n", "rest"]).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
 
 
+def print_links(prints: DataFrame, group: int = GROUP) -> DataFrame:
+    """(a, b) links that span the components of distinct fingerprints (fp) at two or fewer differing bits."""
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number of its own: 64 rows are made of each, which adaptive execution would leave to a few tasks.
+    keyed = variants(prints.repartition(tasks, "fp")).repartition("key").sortWithinPartitions("key", "fp")
+    # Sorted by key inside each task: an external sort that spills; the task itself streams.
+    links = materialise(keyed.mapInArrow(lambda b: _links(b, group), "a long, b long, hot long"), "near")
+    edges = links.where("hot is null").select("a", "b")
+    hot = links.where("hot is not null").select(F.col("a").alias("fp"))
+    return edges if hot.isEmpty() else edges.unionAll(_clique_links(hot))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, group: int = GROUP
 ) -> DataFrame:
@@ -169,7 +181,9 @@ def simhash_groups(
     Fingerprints link at two or fewer differing bits; component_id is the smallest id that
     can be reached. Null and blank texts have fingerprint zero and link like any other.
     A null id stays in the result and never is a component's smallest id, unless all of that
-    component's are null. Repeated rows give repeated rows. Other columns are not read.
+    component's are null. Bits that are set in just half of the shingles are 0. Very long texts
+    are read whole. Repeated rows give repeated rows, an empty table an empty result. Other
+    columns are not read, whatever their names.
     """
     ids = docs.schema[id_col].dataType
 
@@ -179,21 +193,13 @@ def simhash_groups(
             yield pa.record_batch([batch.column(0), pa.array(made, pa.int64())], ["id", "fp"])
 
     found = materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text")).mapInArrow(
             prints, f"id {ids.simpleString()}, fp long"
         ),
         "prints",
     )
     folded = found.groupBy("fp").agg(F.min("id").alias("least"))
-    # Sorted by key inside each task: an external sort that spills; the task itself streams.
-    keyed = variants(folded.select("fp")).repartition("key").sortWithinPartitions("key", "fp")
-    links = materialise(
-        keyed.mapInArrow(lambda b: _links(b, group), "a long, b long, hot long"), "near"
-    )
-    edges = links.where("hot is null").select("a", "b")
-    hot = links.where("hot is not null").select(F.col("a").alias("fp"))
-    if not hot.isEmpty():
-        edges = edges.unionAll(_clique_links(hot))
+    edges = print_links(folded.select("fp"), group)
     nodes = connected_components(edges)
     nodes = nodes.unionAll(nodes.select(F.col("root").alias("node"), "root").distinct())
     rooted = folded.join(nodes, folded.fp == nodes.node, "left").select(

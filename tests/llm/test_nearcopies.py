@@ -33,6 +33,22 @@ def test_groups_equal_brute_force_also_in_blocks(spark):
     assert found(spark.createDataFrame([], DOCS)) == []
 
 
+def test_fingerprints_link_as_well(spark):
+    """Texts of one word order but other sets of words: equal fingerprints alone join them."""
+    base = long_text(3, 40)
+    pairs = [(1, base), (2, base + " " + base), (3, base + " " + base + " " + base), (4, long_text(5, 40))]
+    docs = [(i, t, None, None, None) for i, t in pairs]
+    assert found(spark.createDataFrame(docs, DOCS)) == brute(docs)
+    from pyspark.sql import functions as F
+
+    from quirespark.llm.nearcopies import _print_edges
+
+    rows = spark.createDataFrame([(5, 10), (5, 11), (6, 12), (7 << 40, 13), ((7 << 40) + 8, 14)], "fp long, node long")
+    # 5 and 6 differ in two bits, the last two in one; none of the others is near.
+    links = {tuple(sorted(r)) for r in _print_edges(rows).where(F.col("a") != F.col("b")).collect()}
+    assert links == {(10, 11), (10, 12), (13, 14)}
+
+
 def test_forest_and_similarity():
     sets = [np.sort(np.unique(np.random.default_rng(i).integers(0, 40, 30).astype(np.uint64))) for i in range(40)]
     near = [(i, j) for i in range(40) for j in range(i) if similar(sets[i], sets[j], 0.5)]
