@@ -79,10 +79,64 @@ _CODES = "array_to_string(list_sort(list_distinct(list_transform(list_filter(war
 _SIGNED = "CASE " + " ".join(f"WHEN starts_with(lower(hex(encode(substr(text, 1, 16)))), '{m}') THEN '{k}'" for m, k in formats.SIGNATURES) + " ELSE 'none' END"
 
 
+#: What is to be registered, stated here and not taken from the registry: format, converter, priority, needed module.
+_READERS = """
+    archive zip-listing 10
+    code source-code 10
+    csv delimited 10
+    diff diff-patch 10
+    doc_legacy ole-doc 20
+    docx python-docx 10 docx
+    docx ooxml-stdlib 90
+    email eml 10
+    epub epub 10
+    fb2 fb2 10
+    html html 10
+    image image-metadata 50
+    ini config-ini 10
+    json json 10
+    jsonl jsonl 10
+    markdown markdown-passthrough 10
+    mobi mobi-unsupported 10
+    msg_legacy ole-msg 20
+    notebook jupyter 10
+    odf odf 10
+    pdf pymupdf 10 fitz
+    pdf pdf-plaintext 80 pypdf
+    ppt_legacy ole-ppt 20
+    pptx python-pptx 10 pptx
+    pptx ooxml-stdlib 90
+    rtf rtf 20
+    subtitle subtitle 10
+    svg svg 10
+    text plain-text 10
+    toml config-toml 10
+    unsupported_binary binary-unsupported 10
+    unsupported_format unknown-unsupported 10
+    unsupported_media media-unsupported 10
+    unsupported_parquet parquet-unsupported 10
+    xls_legacy ole-xls 20
+    xlsx openpyxl 10 openpyxl
+    xlsx xlsx-stdlib 90
+    xml xml 10
+    yaml config-yaml 10 yaml
+    yaml config-yaml-raw 90
+"""
+
+
 def _readers() -> list[tuple]:
-    from quirespark.operators.chain import load
+    rows = [line.split() for line in _READERS.strip().splitlines()]
+    return [(r[0], r[1], int(r[2]), r[3] if len(r) > 3 else "") for r in rows]
+
 
-    return [(r["format"], r["converter"], r["priority"], r["requires"]) for r in load().describe()]
+def _page_markdown() -> str:
+    """The sample pages' Markdown by regular expressions: head, navigation and comments go, a
+    bold text ends at its line break, and what is between block tags is a paragraph."""
+    bare = "regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>|<nav>.*?</nav>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '(?s)<h1>(.*?)</h1>', '<p># \\1<p>', 'g')"
+    bold = f"regexp_replace({bare}, '(?s)<b>(.*?)<br>', '**\\1**<p>', 'g')"
+    text = _squash(_entities("x"))
+    blocks = f"list_filter(list_transform(string_split_regex({bold}, '</?(?:p|div|footer|article|body|html)\\b[^>]*>'), lambda x: {text}), lambda x: x <> '')"
+    return f"array_to_string({blocks}, chr(10) || chr(10)) || chr(10)"
 
 
 def _clock(x: str) -> str:
@@ -105,6 +159,7 @@ SQL: dict[str, str] = {
     "html_tag_topk": f"SELECT tag, count(*) AS n FROM (SELECT unnest({_TAGS}) AS tag FROM pages) GROUP BY tag ORDER BY n DESC, tag LIMIT 15",
     "html_tag_totals": f"SELECT page_id, len({_TAGS}) AS elements, len(list_distinct({_TAGS})) AS distinct_tags, {_TAGS}[1] AS root FROM pages",
     "html_chrome_counts": "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(lower(html), '<{t}[\\s>]')) AS {t}" for t in ("nav", "footer", "header", "aside")) + " FROM pages",
+    "html_markdown": f"SELECT page_id, url, {_TITLE} AS title, {_page_markdown()} AS markdown, len(regexp_extract_all(html, '<h[1-6][\\s>]')) AS headings, 0::BIGINT AS links, 'ok' AS status, 'html' AS converter FROM pages",
     "html_conversion_facts": f"SELECT page_id, {_TITLE} AS title, len(regexp_extract_all(html, '<h[1-6][\\s>]')) AS headings, 0::BIGINT AS links, 'ok' AS status, false AS leaks_script FROM pages",
     "link_counts": "SELECT page_id, len(regexp_extract_all(html, 'href=\"https?://')) AS external, len(regexp_extract_all(html, 'href=\"https?://')) > 50 AS link_heavy FROM pages",
     "url_guard": f"""SELECT url, coalesce(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) IN ('http', 'https') AND {_HOST} <> '' AND NOT regexp_matches({_HOST}, {_q(_PRIVATE)}), false) AS allowed
@@ -199,6 +254,12 @@ SQL: dict[str, str] = {
       b AS (SELECT *, row_number() OVER w = 1 AS first, first_value(stem) OVER w AS s FROM a WINDOW w AS (PARTITION BY source, sha1 ORDER BY pos)),
       c AS (SELECT *, first_value(sha1) OVER (PARTITION BY source, s ORDER BY first DESC, pos) AS owner FROM b)
       SELECT source, pos, sha1, CASE WHEN owner = sha1 THEN s ELSE s || '-' || substr(sha1, 1, 8) END || '.txt' AS file, first FROM c""",
+    "written_assets": """WITH a AS (SELECT doc_id, source, sha1(text) AS h, 'image' || doc_id % 5 AS stem,
+        sha1('/out/' || source || '/' || lpad(doc_id::VARCHAR, 12, '0') || '.md ' || sha1(text) || ' image' || doc_id % 5 || '.png') AS k FROM documents),
+      b AS (SELECT *, row_number() OVER w = 1 AS first, first_value(stem) OVER w AS s FROM a WINDOW w AS (PARTITION BY source, h ORDER BY k)),
+      c AS (SELECT *, first_value(h) OVER (PARTITION BY source, s ORDER BY first DESC, k) AS owner FROM b),
+      f AS (SELECT *, CASE WHEN owner = h THEN s ELSE s || '-' || substr(h, 1, 8) END || '.png' AS file FROM c)
+      SELECT doc_id, source || '/' || file AS file, 'see ![x](assets/' || file || ')' AS markdown, h AS sha1 FROM f""",
     "batch_report": f"SELECT doc_id::VARCHAR AS at, '| ' || doc_id || ' | text | ' || status || ' | plain-text | 1 ms | ' || {_CODES.format(', ')} || ' |' AS line FROM {_JUDGED}",
     "walk_filter": """SELECT page_id, '/in/web/' || page_id || '.html' AS path FROM pages WHERE page_id % 5 <> 0 AND page_id % 2 = 0 AND NOT contains(page_id::VARCHAR, '1')""",
     "formats_without_reader": f"SELECT f AS format FROM {_values([(k,) for k in sorted({*formats.EXTENSIONS.values()})], 'f')} EXCEPT SELECT f FROM {_values(sorted({(r[0],) for r in _readers()}), 'f')}",

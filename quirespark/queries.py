@@ -443,6 +443,18 @@ def asset_dedup(spark, sf_dir):
     return corpus.content_addressed(d, "source").select("source", "pos", "sha1", "file", "first")
 
 
+@query
+def written_assets(spark, sf_dir):
+    """What write_files would call each text, as an asset of a document, in the folder of its source, and the link that the document has."""
+    d = _t(spark, sf_dir, "documents")
+    name = F.concat(F.lit("image"), (F.col("doc_id") % 5).cast("string"), F.lit(".png"))
+    asset = F.struct(name.alias("filename"), F.encode("text", "UTF-8").alias("data"))
+    rows = d.select("source", "doc_id", F.concat(F.lit("/out/"), "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md")).alias("output"),
+                    F.concat(F.lit("see ![x](assets/"), name, F.lit(")")).alias("markdown"), F.array(asset).alias("assets"))
+    made = corpus.named_assets(rows, F.concat(F.lit("/out/"), F.col("source")))
+    return made.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.get("files", F.lit(0))["file"]).alias("file"), "markdown", F.sha1(F.get("assets", F.lit(0))["data"]).alias("sha1"))
+
+
 @query
 def batch_report(spark, sf_dir):
     rows = _judged(spark, sf_dir).select(
