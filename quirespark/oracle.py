@@ -254,8 +254,7 @@ SQL: dict[str, str] = {
       b AS (SELECT *, row_number() OVER w = 1 AS first, first_value(stem) OVER w AS s FROM a WINDOW w AS (PARTITION BY source, sha1 ORDER BY pos)),
       c AS (SELECT *, first_value(sha1) OVER (PARTITION BY source, s ORDER BY first DESC, pos) AS owner FROM b)
       SELECT source, pos, sha1, CASE WHEN owner = sha1 THEN s ELSE s || '-' || substr(sha1, 1, 8) END || '.txt' AS file, first FROM c""",
-    "written_assets": """WITH a AS (SELECT doc_id, source, sha1(text) AS h, 'image' || doc_id % 5 AS stem,
-        sha1('/out/' || source || '/' || lpad(doc_id::VARCHAR, 12, '0') || '.md ' || sha1(text) || ' image' || doc_id % 5 || '.png') AS k FROM documents),
+    "written_assets": """WITH a AS (SELECT doc_id, source, sha1(text) AS h, 'image' || doc_id % 5 AS stem, lpad(doc_id::VARCHAR, 12, '0') AS k FROM documents),
       b AS (SELECT *, row_number() OVER w = 1 AS first, first_value(stem) OVER w AS s FROM a WINDOW w AS (PARTITION BY source, h ORDER BY k)),
       c AS (SELECT *, first_value(h) OVER (PARTITION BY source, s ORDER BY first DESC, k) AS owner FROM b),
       f AS (SELECT *, CASE WHEN owner = h THEN s ELSE s || '-' || substr(h, 1, 8) END || '.png' AS file FROM c)

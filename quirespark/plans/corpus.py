@@ -124,16 +124,17 @@ def named_assets(results: DataFrame, folder: Column, links: str = "assets") -> D
     """``results`` with files (array<struct<file,first>>, one an asset): what each asset is to
     be called below ``folder``, over all rows that share the folder, and markdown relinked.
 
-    Only hashes and names are shuffled to find the names; rows without assets are not joined.
+    Names go to the outputs in order of their paths. Only hashes and names are shuffled to find
+    them; rows without assets are not joined.
     """
     sums = F.transform("assets", lambda a: F.sha1(a["data"]))
     rows = results.withColumns({"__folder": folder, "__key": F.sha1(F.concat_ws(" ", F.coalesce("output", F.lit("")), sums, F.transform("assets", lambda a: a["filename"])))})
     files = "array<struct<file:string,first:boolean>>"
     bare = rows.where(F.coalesce(F.size("assets"), F.lit(0)) <= 0).withColumn("files", F.array().cast(files))
     some = rows.where(F.size("assets") > 0)
-    narrow = some.select("__folder", "__key", F.posexplode(F.transform("assets", lambda a: F.struct(a["filename"].alias("filename"), F.sha1(a["data"]).alias("sha1")))).alias("at", "a"))
-    narrow = narrow.distinct().select("__folder", "__key", "at", filename_column(F.col("a.filename")).alias("filename"), F.col("a.sha1").alias("data"))
-    named = content_addressed(narrow.withColumn("pos", F.struct("__key", "at")), "__folder", hashed=True)
+    narrow = some.select("__folder", "__key", "output", F.posexplode(F.transform("assets", lambda a: F.struct(a["filename"].alias("filename"), F.sha1(a["data"]).alias("sha1")))).alias("at", "a"))
+    narrow = narrow.distinct().select("__folder", "__key", "output", "at", filename_column(F.col("a.filename")).alias("filename"), F.col("a.sha1").alias("data"))
+    named = content_addressed(narrow.withColumn("pos", F.struct("output", "__key", "at")), "__folder", hashed=True)
     lists = named.groupBy("__folder", "__key").agg(F.array_sort(F.collect_list(F.struct("at", "file", "first"))).alias("f"))
     lists = lists.select("__folder", "__key", F.transform("f", lambda x: F.struct(x["file"].alias("file"), x["first"].alias("first"))).alias("files"))
     # A name that stands for several assets of one row links to the last of them.
