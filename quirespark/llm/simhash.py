@@ -163,9 +163,7 @@ def _clique_links(hot: DataFrame) -> DataFrame:
 
 def print_links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     """(a, b) links that span the components of distinct fingerprints (fp) at two or fewer differing bits."""
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A number of its own: 64 rows are made of each, which adaptive execution would leave to a few tasks.
-    keyed = variants(prints.repartition(tasks, "fp")).repartition("key").sortWithinPartitions("key", "fp")
+    keyed = variants(prints).repartition("key").sortWithinPartitions("key", "fp")
     # Sorted by key inside each task: an external sort that spills; the task itself streams.
     links = materialise(keyed.mapInArrow(lambda b: _links(b, group), "a long, b long, hot long"), "near")
     edges = links.where("hot is null").select("a", "b")
